@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, rules, sharding
+from . import debruijn, fingerprint, rules, sharding, suffix
 from .common import read
 
 
@@ -15,6 +15,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = debruijn.remove_repeated_words(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = rules.judge(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -25,9 +30,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix.remove_repeated_bytes(read(spark, sf_dir, "documents"), keep_first=False)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_document_fingerprints": op3_document_fingerprints,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_sharding": op8_sharding,
     }
