@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fingerprint, rules, sharding, suffix
+from . import bpe, chat, debruijn, fingerprint, minhash, packing, rules, sharding, suffix
 from .common import read
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(turns.unionByName(extra)))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(read(spark, sf_dir, "documents"))
 
@@ -25,6 +37,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizers.path("byte_bpe_50k.tiktoken")
+    got = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN), ranks)
+    return got.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.interleave(read(spark, sf_dir, "documents"), n_shards=16)
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
@@ -37,6 +64,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_byte_level_bpe": op9_byte_level_bpe,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op5_substring_dedup": op5_substring_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
