@@ -24,6 +24,10 @@ MIN_WORDS = 20
 #: Largest share, in percent, of words in repeated windows.
 MAX_REPEATED = 30
 WINDOW = 8
+#: Share of good documents on which a rule votes bad, at most.
+FALSE_ALARMS = 0.01
+#: Share of bad documents on which a rule votes bad, at least.
+LEAST_CAUGHT = 0.05
 
 
 def _statistics(rows: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -73,8 +77,8 @@ RULES = [
     ("length", "{p}n_words < 20", "{p}n_words >= 100"),
     ("word_length", "{p}word_chars < 2 * {p}n_words or {p}word_chars > 14 * {p}n_words", "{p}word_chars between 3 * {p}n_words and 9 * {p}n_words"),
     ("symbols", "10 * {p}n_symbols > {p}n_words", "50 * {p}n_symbols <= {p}n_words"),
-    ("repeated_lines", "4 * {p}n_dup_lines > {p}n_lines", "{p}n_lines >= 4 and {p}n_dup_lines = 0"),
-    ("repeated_words", "5 * {p}n_repeat_words > {p}n_words", "20 * {p}n_repeat_words <= {p}n_words"),
+    ("repeated_lines", "2 * {p}n_dup_lines > {p}n_lines", "{p}n_lines >= 4 and {p}n_dup_lines = 0"),
+    ("repeated_words", "10 * {p}n_repeat_words > 3 * {p}n_words", "20 * {p}n_repeat_words <= {p}n_words"),
     ("stutter", "5 * {p}n_stutter > {p}n_words", "25 * {p}n_stutter <= {p}n_words"),
     ("capitals", "5 * {p}n_upper > 2 * {p}word_chars", "5 * {p}n_upper <= {p}word_chars"),
     ("shouting", "5 * {p}n_loud > {p}n_words", "50 * {p}n_loud <= {p}n_words"),
@@ -86,9 +90,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) ->
     """Expectation-maximisation over counted vote patterns.
 
     Returns the prior log odds of good and, for each rule, the log likelihood ratio of each vote. It starts
-    with documents without a bad vote as mostly good and the rest as mostly bad. Shares are smoothed
-    by one imagined vote each, and a bad vote never speaks for good nor a good one for bad, so a rule that
-    the data say nothing about, or a corpus without bad documents, does no harm.
+    with documents without a bad vote as mostly good and the rest as mostly bad. What is known of the rules beforehand bounds the
+    estimates: a rule votes bad on at most FALSE_ALARMS of good documents and on at least LEAST_CAUGHT of bad ones, and no bad vote
+    speaks for good nor a good one for bad.
+    So a rule that the data say nothing about, or a corpus without bad documents, does no harm.
     """
     k = len(RULES)
     total = sum(n for _, n in patterns)
@@ -105,7 +110,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) ->
             for b, (votes, n) in zip(belief, patterns, strict=True):
                 seen[votes[r]][0] += b * n
                 seen[votes[r]][1] += (1 - b) * n
-            ratio = {v: math.log(g / (good + 3)) - math.log(b / (total - good + 3)) for v, (g, b) in seen.items()}
+            shares = {v: [g / (good + 3), b / (total - good + 3)] for v, (g, b) in seen.items()}
+            shares[-1] = [min(shares[-1][0], FALSE_ALARMS), max(shares[-1][1], LEAST_CAUGHT)]
+            ratio = {v: math.log(g) - math.log(b) for v, (g, b) in shares.items()}
             weights.append({-1: min(0.0, ratio[-1]), 0: max(-1.0, min(1.0, ratio[0])), 1: max(0.0, ratio[1])})
         new = [1 / (1 + math.exp(-max(-700.0, min(700.0, prior + sum(w[v] for w, v in zip(weights, votes, strict=True)))))) for votes, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(belief, new, strict=True))
@@ -120,8 +127,9 @@ def _with_votes(rows: DataFrame, p: str) -> DataFrame:
 
 
 def _fit(voted: DataFrame, p: str) -> tuple[float, list[dict[int, float]]]:
+    """Documents that fail the base rules are bad without a vote, and would hide other kinds of bad ones."""
     names = [f"{p}{name}" for name, _, _ in RULES]
-    found = voted.groupBy(*names).count().orderBy(*names).collect()  # 3 ** len(RULES) rows at most
+    found = voted.where(~_base_failed(p)).groupBy(*names).count().orderBy(*names).collect()  # 3 ** len(RULES) rows at most
     return estimate([(tuple(r[n] for n in names), r["count"]) for r in found])
 
 
@@ -152,7 +160,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = 0.5, prefix: str = "__rule_") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    text = f"{prefix}text"
-    voted = _with_votes(_statistics(docs.withColumn(text, text_or_empty()), text, prefix), prefix)
-    prior, weights = _fit(voted, prefix)
-    return voted.where(~_base_failed(prefix) & (_posterior(prefix, prior, weights) >= threshold)).select(*(f"`{c}`" for c in docs.columns))
+    text, fence = f"{prefix}text", f"{prefix}fence"
+    # a column that isn't deterministic, so that the filter isn't pushed below it and the statistics written out in it again and again
+    counted = _statistics(docs.withColumn(text, text_or_empty()), text, prefix).withColumn(fence, F.monotonically_increasing_id())
+    prior, weights = _fit(_with_votes(counted, prefix), prefix)
+    voted = _with_votes(counted, prefix).where(~_base_failed(prefix) & (_posterior(prefix, prior, weights) >= threshold) & (F.col(fence) >= 0))
+    return voted.select(*(f"`{c}`" for c in docs.columns))
