@@ -1,15 +1,404 @@
-"""The registered queries of the library's own operators, with the SQL they are held against."""
+"""The registered queries of the library's own operators, with the SQL they are held against.
+
+The driver's tables stand in for arrays: `part`, `orders`, `events` and `embeddings` have dense keys that serve as positions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import casts as C
+from ..functions import color as K
+from ..functions import geometry as G
+from ..operators import lookup as J
+from ..operators import ordered as O
+from ..operators import validate as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _component(i: int):
+    return F.element_at("embedding", i + 1).cast("double")
+
+
+DISCRETE = [K.Boundary(50.0), K.Boundary(150.0, inclusive=True), K.Boundary(300.0)]
+PALETTE = [(0, 0, 255, 255), (0, 255, 0, 255), (255, 255, 0, 255), (255, 0, 0, 255)]
+
+
+@_query("SELECT event_id AS pos, COALESCE(CASE WHEN value < 10 THEN NULL ELSE value END, CAST(0 AS DOUBLE)) AS val, value < 10 AS is_null FROM events")
+def num_nullable_scan(spark, d):
+    val, mask = C.value_and_mask(F.when(F.col("value") >= 10, F.col("value")), 0.0)
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), val.alias("val"), mask.alias("is_null"))
+
+
+@_query("SELECT o_orderkey AS pos, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
+def cast_date_to_i64(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), C.to_kind(F.col("o_orderdate").cast("date"), "Date", "I64").alias("days"))
+
+
+@_query("SELECT event_id AS pos, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
+def cast_datetime_to_i64(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.to_kind(F.col("ts"), "DateTime", "I64").alias("us"))
+
+
+@_query("SELECT event_id AS pos, CAST(epoch_us(ts)//1000000 AS DOUBLE) + CAST(epoch_us(ts)%1000000 AS DOUBLE)/CAST(1000000 AS DOUBLE) AS secs FROM events")
+def cast_datetime_to_f64(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.to_kind(F.col("ts"), "DateTime", "F64").alias("secs"))
+
+
+@_query("SELECT o_orderkey AS pos, CAST(DATE '1970-01-01' + CAST(o_orderkey % 20000 AS INTEGER) AS DATE) AS d FROM orders")
+def cast_i64_to_date(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), C.days_to_date(F.col("o_orderkey") % 20000).alias("d"))
+
+
+@_query("SELECT vec_id AS pos, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM embeddings")
+def vector_pad_3d(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), C.vector3(_component(0), _component(1)).alias("v")).select("pos", "v.*")
+
+
+@_query(
+    "SELECT event_id AS pos, CASE WHEN value < 10 OR user_id % 5 = 0 THEN NULL ELSE value END AS x, CASE WHEN value < 10 OR user_id % 5 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS y FROM events"
+)
+def vector_group_null(spark, d):
+    x, y = F.when(F.col("value") >= 10, F.col("value")), F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("double"))
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.group(x=x, y=y).alias("v")).select("pos", "v.*")
+
+
+@_query("SELECT p_partkey AS pos, NULLIF(CASE WHEN p_size < 10 THEN '' ELSE p_name END, '') AS txt FROM part")
+def empty_text_to_null(spark, d):
+    text = F.when(F.col("p_size") < 10, "").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), C.not_empty(text).alias("txt"))
+
+
+@_query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(LEAST(GREATEST(CAST(ROUND(l_quantity*10) AS BIGINT)-50,0),255) AS INTEGER) AS r, CAST(255 AS INTEGER) AS a FROM lineitem")
+def color_clamp(spark, d):
+    level = F.round(F.col("l_quantity") * 10).cast("long") - 50
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), C.channel(level).alias("r"), F.lit(255).alias("a"))
+
+
+@_query("SELECT p_partkey AS pos, CASE WHEN p_size % 7 - 1 = -1 THEN NULL ELSE p_size % 7 - 1 END AS idx, p_size % 7 - 1 < -1 AS out_of_range FROM part")
+def category_minus1_null(spark, d):
+    index, outside = C.category_index(F.col("p_size") % 7 - 1)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), index.alias("idx"), outside.alias("out_of_range"))
+
+
+@_query("SELECT p.p_partkey AS pos, p.p_retailprice AS x, s.s_acctbal AS val FROM part p LEFT JOIN supplier s ON p.p_partkey = s.s_suppkey")
+def attr_positional_join(spark, d):
+    places = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("x"))
+    return J.attribute(places, table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("val")))
+
+
+@_query(
+    "WITH v AS (SELECT p_partkey AS pos, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), s AS (SELECT pos AS a, pos+1 AS b FROM v WHERE pos+1 IN (SELECT pos FROM v)) SELECT s.a, s.b, ROUND((v2.x-v1.x)*(v2.x-v1.x)+(v2.y-v1.y)*(v2.y-v1.y),4) AS len2 FROM s JOIN v v1 ON s.a=v1.pos JOIN v v2 ON s.b=v2.pos"
+)
+def segment_resolve(spark, d):
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    pairs = v.select(F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"))
+    return J.segments(pairs, v, ["x", "y"]).select("a", "b", F.round("len2", 4).alias("len2"))
+
+
+@_query(
+    "WITH v AS (SELECT p_partkey AS pos, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 17 AS DOUBLE) AS y FROM part), n AS (SELECT COUNT(*) AS n FROM v), t AS (SELECT pos AS a, (pos+3)%n AS b, (pos+7)%n AS c FROM v, n) SELECT a,b,c,(v2.x-v1.x)*(v3.y-v1.y)-(v2.y-v1.y)*(v3.x-v1.x) AS nz FROM t JOIN v v1 ON a=v1.pos JOIN v v2 ON b=v2.pos JOIN v v3 ON c=v3.pos"
+)
+def triangle_normal(spark, d):
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 17).cast("double").alias("y"))
+    n = v.count()  # from the footers
+    t = v.select(F.col("pos").alias("a"), ((F.col("pos") + 3) % n).alias("b"), ((F.col("pos") + 7) % n).alias("c"))
+    return J.triangles(t, v, ["x", "y"]).select("a", "b", "c", "nz")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey AS idx, p_name AS name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def category_lookup(spark, d):
+    legend = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    return J.category(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("idx")), legend, "idx")
+
+
+@_query("SELECT p_brand AS name, COUNT(*) AS n, ROUND(SUM(l_quantity),2) AS tonnes FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY p_brand")
+def category_subattribute(spark, d):
+    legend = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("name"))
+    rows = J.category(table(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"), "l_quantity"), legend, "idx").where("name is not null")
+    return J.totals(rows, "name", tonnes=F.col("l_quantity")).withColumn("tonnes", F.round("tonnes", 2))
+
+
+@_query("SELECT event_id AS pos, CAST(CASE WHEN value < 50 THEN 0 WHEN value <= 150 THEN 1 WHEN value < 300 THEN 2 ELSE 3 END AS INTEGER) AS color FROM events")
+def colormap_discrete(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), K.discrete_bin(F.col("value"), DISCRETE).alias("color"))
+
+
+@_query("SELECT event_id AS pos, CAST(CASE WHEN ts < TIMESTAMP '2024-01-05' THEN 0 WHEN ts <= TIMESTAMP '2024-01-12' THEN 1 ELSE 2 END AS INTEGER) AS color FROM events")
+def colormap_discrete_datetime(spark, d):
+    import datetime as dt
+
+    cuts = [K.Boundary(dt.datetime(2024, 1, 5)), K.Boundary(dt.datetime(2024, 1, 12), inclusive=True)]
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), K.discrete_bin(F.col("ts").cast("timestamp"), cuts).alias("color"))
+
+
+@_query(
+    "WITH t AS (SELECT event_id AS pos, LEAST(GREATEST(value/200e0,0e0),1e0)*2e0 AS g FROM events) SELECT pos, CAST(ROUND(CASE WHEN g<=1 THEN 0 ELSE 255*(g-1) END) AS INTEGER) AS r, CAST(ROUND(CASE WHEN g<=1 THEN 255*g ELSE 255*(2-g) END) AS INTEGER) AS g, CAST(ROUND(CASE WHEN g<=1 THEN 255*(1-g) ELSE 0 END) AS INTEGER) AS b, CAST(255 AS INTEGER) AS a FROM t"
+)
+def colormap_continuous(spark, d):
+    gradient = [(0, 0, 255, 255), (0, 255, 0, 255), (255, 0, 0, 255)]
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), K.continuous_color(F.col("value"), 0, 200, gradient).alias("c")).select("pos", "c.*")
+
+
+@_query("SELECT p_partkey AS pos, printf('#%02x%02x%02xff', p_size, p_size*2, p_size*5) AS hex FROM part")
+def rgba_hex(spark, d):
+    s = F.col("p_size")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), K.rgba_hex(s, s * 2, s * 5, F.lit(255)).alias("hex"))
+
+
+@_query("SELECT vec_id AS pos, ROUND(CAST(embedding[1] AS DOUBLE)*10 - FLOOR(CAST(embedding[1] AS DOUBLE)*10),9) AS u FROM embeddings")
+def uv_wrap(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.round(K.wrap(_component(0) * 10), 9).alias("u"))
+
+
+@_query(
+    "SELECT vec_id AS pos, ROUND((CAST(embedding[1] AS DOUBLE)*6e-1+CAST(embedding[2] AS DOUBLE)*8e-1)/2e0,9) AS u, ROUND((CAST(embedding[1] AS DOUBLE)*-8e-1+CAST(embedding[2] AS DOUBLE)*6e-1)/4e0,9) AS v FROM embeddings"
+)
+def texture_project(spark, d):
+    p = [_component(0), _component(1)]
+    u, v = K.projected(p, (0, 0), (0.6, 0.8), 2), K.projected(p, (0, 0), (-0.8, 0.6), 4)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
+
+
+@_query("SELECT p_partkey AS flat, p_partkey % 8 AS i, (p_partkey // 8) % 6 AS j, p_partkey // 48 AS k FROM part")
+def grid_unflatten(spark, d):
+    i, j, k = G.unflatten(F.col("p_partkey"), [8, 6, None])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("flat"), i.alias("i"), j.alias("j"), k.alias("k"))
+
+
+@_query("SELECT p_size AS nu, CAST(p_size AS BIGINT)*7*3 AS cells, (CAST(p_size AS BIGINT)+1)*8*4 AS corners FROM part GROUP BY p_size")
+def grid_counts(spark, d):
+    count = [F.col("nu"), 7, 3]
+    return table(spark, d, "part").select(F.col("p_size").alias("nu")).distinct().select("nu", G.cells(count).alias("cells"), G.corners(count).alias("corners"))
+
+
+@_query("SELECT p_partkey AS pos, CAST(COALESCE(SUM(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS edge, p_size AS size FROM part")
+def tensor_edges(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_size").alias("size"))
+    return O.running_sum(rows, F.col("size"), "edge").select("pos", "edge", "size")
+
+
+@_query(
+    "WITH b AS (SELECT p_partkey AS flat, (p_partkey%8+0.5e0)*10e0 AS u, ((p_partkey//8)%6+0.5e0)*20e0 AS v, (p_partkey//48+0.5e0)*5e0 AS w FROM part) SELECT flat, ROUND(100+0.6e0*u-0.8e0*v,6) AS x, ROUND(200+0.8e0*u+0.6e0*v,6) AS y, ROUND(CAST(w AS DOUBLE),6) AS z FROM b"
+)
+def block_centroids(spark, d):
+    index = G.unflatten(F.col("flat"), [8, 6, None])
+    local = [G.cell_center(i, s) for i, s in zip(index, (10, 20, 5), strict=True)]
+    world = G.to_world(local, (100, 200, 0), [(0.6, 0.8, 0), (-0.8, 0.6, 0), (0, 0, 1)])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("flat")).select("flat", *(F.round(c, 6).alias(n) for c, n in zip(world, "xyz", strict=True)))
+
+
+@_query(
+    "SELECT vec_id AS pos, CAST(FLOOR((6e-1*embedding[1]::DOUBLE+8e-1*embedding[2]::DOUBLE)/5e-2) AS BIGINT) AS i, CAST(FLOOR((6e-1*embedding[2]::DOUBLE-8e-1*embedding[1]::DOUBLE)/5e-2) AS BIGINT) AS j FROM embeddings"
+)
+def world_to_block(spark, d):
+    local = G.to_local([_component(0), _component(1)], (0, 0), [(0.6, 0.8), (-0.8, 0.6)])
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), *(G.block_of(x, 0.05).alias(n) for x, n in zip(local, "ij", strict=True)))
+
+
+@_query(
+    "WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_orderkey%8 AS pu, CAST(ROUND(l_quantity) AS BIGINT)%4 AS mn, 4 AS mx FROM lineitem) SELECT k,n,((pu*4+mn)*100e0+(pu*4+mx)*100e0)/2 AS cx, (mx-mn)*100e0 AS dx FROM s"
+)
+def subblock_regular_geometry(spark, d):
+    center, size = G.subblock_regular(F.col("l_orderkey") % 8, F.round("l_quantity").cast("long") % 4, F.lit(4), 4, 100)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), center.alias("cx"), size.alias("dx"))
+
+
+@_query("SELECT l_orderkey AS k, l_linenumber AS n, ROUND((l_orderkey%8 + l_discount)*400e0,6) AS lo, ROUND((l_orderkey%8 + 1e0)*400e0,6) AS hi FROM lineitem")
+def subblock_freeform_geometry(spark, d):
+    parent = F.col("l_orderkey") % 8
+    low, high = G.subblock_freeform(parent, F.col("l_discount"), 400), G.subblock_freeform(parent, F.lit(1.0), 400)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(low, 6).alias("lo"), F.round(high, 6).alias("hi"))
+
+
+@_query("SELECT MIN(CAST(embedding[1] AS DOUBLE)+1000e0+25e0) AS x0, MAX(CAST(embedding[1] AS DOUBLE)+1000e0+25e0) AS x1, COUNT(*) AS n FROM embeddings")
+def world_position(spark, d):
+    (x,) = G.shifted([_component(0)], (1000,), (25,))
+    return table(spark, d, "embeddings").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "WITH u AS (SELECT n_nationkey AS i, n_nationkey*2e0 AS x FROM nation), v AS (SELECT r_regionkey AS j, r_regionkey*3e0 AS y FROM region), g AS (SELECT CAST(j AS BIGINT)*25+i AS pos, x, y FROM u, v) SELECT g.pos, x, y, s_acctbal AS z FROM g LEFT JOIN supplier ON g.pos = s_suppkey"
+)
+def grid_surface_vertices(spark, d):
+    u = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") * 2.0).alias("edge"))
+    v = table(spark, d, "region").select(F.col("r_regionkey").alias("pos"), (F.col("r_regionkey") * 3.0).alias("edge"))
+    return J.attribute(J.grid_corners(u, v, 25), table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("z")))
+
+
+@_query("SELECT MIN(o_totalprice-500e0) AS min_size, COUNT(*) FILTER (WHERE o_totalprice-500e0 <= 0) AS bad FROM orders")
+def val_size_positive(spark, d):
+    size = F.col("o_totalprice") - 500.0
+    return table(spark, d, "orders").agg(V.minimum(size).alias("min_size"), F.count_if(V.not_above_zero(size)).alias("bad"))
+
+
+@_query(
+    "SELECT event_id AS pos FROM events WHERE isnan(CASE WHEN user_id%7=0 THEN 'NaN'::DOUBLE ELSE value END) OR isinf(CASE WHEN user_id%11=0 THEN 'Infinity'::DOUBLE ELSE value END)"
+)
+def val_finite(spark, d):
+    a = F.when(F.col("user_id") % 7 == 0, float("nan")).otherwise(F.col("value"))
+    b = F.when(F.col("user_id") % 11 == 0, float("inf")).otherwise(F.col("value"))
+    return table(spark, d, "events").where(V.any_not_finite(F.array(a, b))).select(F.col("event_id").alias("pos"))
+
+
+@_query(
+    "SELECT vec_id AS pos FROM embeddings WHERE abs(1e0-(embedding[1]::DOUBLE*embedding[1]::DOUBLE+embedding[2]::DOUBLE*embedding[2]::DOUBLE+embedding[3]::DOUBLE*embedding[3]::DOUBLE)) >= 1e-6"
+)
+def val_unit_vector(spark, d):
+    return table(spark, d, "embeddings").where(V.not_unit([_component(i) for i in range(3)])).select(F.col("vec_id").alias("pos"))
+
+
+@_query("SELECT p_name AS name, COUNT(*) AS n FROM part GROUP BY p_name HAVING COUNT(*) > 1")
+def val_unique_names(spark, d):
+    return V.duplicates(table(spark, d, "part").select(F.col("p_name").alias("name")), "name")
+
+
+@_query("SELECT p_partkey AS pos, p_size AS n FROM part WHERE bit_count(p_size) <> 1")
+def val_octree_pow2(spark, d):
+    return table(spark, d, "part").where(V.not_power_of_two(F.col("p_size"))).select(F.col("p_partkey").alias("pos"), F.col("p_size").alias("n"))
+
+
+@_query(
+    "WITH c AS (SELECT COUNT(*)*9//10 AS n FROM part) SELECT l_orderkey, l_linenumber, l_partkey AS idx, n-1 AS max_idx FROM lineitem, c WHERE l_partkey >= n"
+)
+def val_index_range(spark, d):
+    n = table(spark, d, "part").count() * 9 // 10
+    rows = table(spark, d, "lineitem").where(V.index_outside(n, F.col("l_partkey")))
+    return rows.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("idx"), F.lit(n - 1).cast("long").alias("max_idx"))
+
+
+@_query("SELECT pos, v FROM (SELECT event_id AS pos, value AS v, LAG(value) OVER (ORDER BY event_id) AS p FROM events) WHERE v < p")
+def val_boundary_decreases(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("v"))
+    return O.previous(rows, F.col("v"), "before").where("v < before").select("pos", "v")
+
+
+@_query(
+    "WITH s AS (SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS pos, l_orderkey%13 AS u, l_partkey%11 AS v, l_suppkey%7 AS w FROM lineitem) SELECT u,v,w FROM s ORDER BY u DESC, pos LIMIT 1"
+)
+def val_parent_argmax(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 13).alias("u"), (F.col("l_partkey") % 11).alias("v"), (F.col("l_suppkey") % 7).alias("w"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+    pos = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return rows.agg(V.first_largest(F.struct("u", "v", "w"), F.col("u"), *pos).alias("at")).select("at.*")
+
+
+@_query(
+    "SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN CAST(ROUND(l_quantity) AS BIGINT)%6 >= CAST(ROUND(l_tax*100) AS BIGINT) THEN 'zero_size' WHEN CAST(ROUND(l_tax*100) AS BIGINT) > 4 THEN 'outside' ELSE 'ok' END AS status FROM lineitem"
+)
+def val_regular_corners(spark, d):
+    low, high = F.round("l_quantity").cast("long") % 6, F.round(F.col("l_tax") * 100).cast("long")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), V.regular_corners([low], [high], [4]).alias("status"))
+
+
+@_query(
+    "SELECT p_partkey AS pos, CAST(p_size%5 AS BIGINT) AS mn, CAST((p_size%5)+1+(p_partkey%4) AS BIGINT) AS mx, NOT ((1+(p_partkey%4)) IN (1,2,4) AND (p_size%5) % (1+(p_partkey%4)) = 0) AS bad FROM part"
+)
+def val_octree_mode(spark, d):
+    low = (F.col("p_size") % 5).cast("long")
+    high = (low + 1 + F.col("p_partkey") % 4).cast("long")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), low.alias("mn"), high.alias("mx"), V.mode_broken([low], [high], [4], "octree").alias("bad"))
+
+
+@_query("SELECT p_partkey AS pos, NOT ((1+(p_partkey%4)) IN (1,4)) AS bad FROM part")
+def val_full_mode(spark, d):
+    high = 1 + F.col("p_partkey") % 4
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), V.mode_broken([F.lit(0)], [high], [4], "full").alias("bad"))
+
+
+@_query(
+    "SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_discount-1e-2 < 0 THEN 'outside' WHEN l_quantity/49e0 > 1 THEN 'outside' WHEN l_discount-1e-2 >= l_quantity/49e0 THEN 'zero_size' ELSE 'ok' END AS status FROM lineitem"
+)
+def val_freeform_corners(spark, d):
+    status = V.freeform_corners([F.col("l_discount") - 0.01], [F.col("l_quantity") / 49.0])
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), status.alias("status"))
+
+
+@_query("SELECT o_custkey % 10 AS element, COUNT(*) AS attr_len, CAST(150 AS BIGINT) AS geom_len, COUNT(*) <> 150 AS mismatch FROM orders GROUP BY 1")
+def val_attr_length(spark, d):
+    return V.lengths(table(spark, d, "orders"), F.col("o_custkey") % 10, F.lit(150).cast("long"))
+
+
+@_query("SELECT DISTINCT l_suppkey AS member FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)")
+def val_missing_member(spark, d):
+    known = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("member"))
+    return J.members_missing(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("member")), known, "member")
+
+
+@_query("SELECT event_id AS pos, CAST(json_extract(props,'$.k') AS INTEGER) AS k FROM events")
+def metadata_json(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@_query(
+    "SELECT severity, CAST(LEAST(n,100) AS BIGINT) AS shown, CAST(GREATEST(n-100,0) AS BIGINT) AS more FROM (SELECT CASE WHEN event_type='error' THEN 'Error' ELSE 'Warning' END AS severity, COUNT(*) AS n FROM events GROUP BY 1)"
+)
+def problem_report(spark, d):
+    severity = F.when(F.col("event_type") == "error", "Error").otherwise("Warning")
+    return V.report(table(spark, d, "events").select(severity.alias("severity")), 100)
+
+
+@_query("SELECT p_type AS legend, COUNT(DISTINCT NULLIF(p_name,'')) AS uniq, CAST(SUM(octet_length(CAST(p_name AS BLOB))) AS BIGINT) AS total FROM part GROUP BY p_type")
+def legend_score(spark, d):
+    return V.legend_scores(table(spark, d, "part").select(F.col("p_type").alias("legend"), "p_name"), "legend", "p_name")
+
+
+@_query(
+    "WITH s AS (SELECT p_type AS legend, COUNT(DISTINCT NULLIF(p_name,'')) AS uniq, CAST(SUM(octet_length(CAST(p_name AS BLOB))) AS BIGINT) AS total FROM part GROUP BY p_type) SELECT legend AS best FROM s ORDER BY uniq DESC, total DESC, legend DESC LIMIT 1"
+)
+def legend_choice(spark, d):
+    return O.best(legend_score(spark, d), F.col("legend"), F.col("uniq"), F.col("total"))
+
+
+@_query("SELECT g.pos, COALESCE(n_name,'') AS name FROM (SELECT CAST(range AS BIGINT) AS pos FROM range(40)) g LEFT JOIN nation ON g.pos = n_nationkey")
+def pad_to_length(spark, d):
+    return O.padded(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("name")), 40, {"name": ""})
+
+
+@_query("SELECT p_partkey AS pos, concat(CASE WHEN p_size%2=0 THEN '≤ ' ELSE '< ' END, CAST(p_size AS VARCHAR)) AS lbl FROM part")
+def boundary_label(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), K.boundary_label(F.col("p_size"), F.col("p_size") % 2 == 0).alias("lbl"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
+def filter_project(spark, d):
+    return table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@_query("SELECT p_partkey AS pos, p_name FROM part ORDER BY p_partkey LIMIT 5")
+def head_k(spark, d):
+    return O.head(table(spark, d, "part").select(F.col("p_partkey").alias("pos"), "p_name"), 5)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their colors of a discrete colormap, as hex."""
+    c = K.discrete_color(F.col("value"), DISCRETE, PALETTE)
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), "value", c.alias("c")).select("pos", "value", K.rgba_hex(F.col("c.r"), F.col("c.g"), F.col("c.b"), F.col("c.a")).alias("color"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
