@@ -80,23 +80,23 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _byte_table()[data]
 
 
-def word_symbols(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the texts that lie one after another in data, cut at cuts (with 0 and the end);
-    and the cuts as numbers of words."""
+def word_places(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts that lie one after another in data begin and end. Cuts: 0, inner borders, the end."""
     space = np.zeros(256, bool)
     space[list(SPACES)] = True
     blank = np.ones(len(data) + 1, bool)
     blank[:-1] = space[data]
     before = np.ones(len(data) + 1, bool)
     before[1:] = blank[:-1]
-    begins = ~blank
-    ends = ~before
     inner = cuts[1:-1]
-    begins_here = begins & before
-    begins_here[inner] = begins[inner]
-    ends_here = ends & blank
-    ends_here[inner] = ends[inner]
-    at, end = np.flatnonzero(begins_here), np.flatnonzero(ends_here)
+    begins, ends = ~blank & before, ~before & blank
+    begins[inner], ends[inner] = ~blank[inner], ~before[inner]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def word_symbols(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts that lie one after another in data, cut at cuts; and the cuts as numbers of words."""
+    at, end = word_places(data, cuts)
     words = mix(hashes(prefix_sums(byte_symbols(data)), at, end) + (end - at).astype(U))
     return words, np.searchsorted(at, cuts)
 
@@ -283,12 +283,24 @@ def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 21) ->
         data, cuts = (data, cuts) if unit == "byte" else (np.frombuffer(data.tobytes(), U), cuts // 8)
         n = rows.column("n").to_numpy()
         places = np.repeat(cuts[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        earlier, later = factors(ranks(data.astype(kind), length), places)
         item = np.repeat(np.arange(len(n)), n)
+        # windows whose hash no other has are unique; only runs with others are put in suffix order
+        window = hashes(prefix_sums(byte_symbols(data) if unit == "byte" else data), places, places + length)
+        _, same, often = np.unique(window, return_inverse=True, return_counts=True)
+        maybe = often[same] > 1
+        if not maybe.any():
+            return pa.RecordBatch.from_pylist([], schema=schema)
+        places, item = places[maybe], item[maybe]
+        wanted = np.unique(item)
+        size = np.diff(cuts)
+        moved = np.zeros(len(n), np.int64)
+        moved[wanted] = cuts[wanted] - (np.cumsum(size[wanted]) - size[wanted])
+        part = np.repeat(moved[wanted], size[wanted]) + np.arange(int(size[wanted].sum()))
+        earlier, later = factors(ranks(data[part].astype(kind), length), places - moved[item])
         hit = earlier if keep_first else (earlier | later) & (rows.column("copies").to_numpy() == 1)[item]
         found = np.flatnonzero(hit)
         new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1] + 1) | (item[found][1:] != item[found][:-1])
+        new[1:] = (places[found][1:] != places[found][:-1] + 1) | (item[found][1:] != item[found][:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(found)))
         at = found[first]
