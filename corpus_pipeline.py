@@ -1,12 +1,59 @@
-"""A corpus pipeline over `documents`."""
+"""A corpus pipeline over `documents`: five stages, each a library operator.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before returned, written and read again. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from strata.llm import crf, debruijn, minhash, packing, rules
+from strata.llm.common import materialize, read
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model calls good."""
+    return crf.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules keep."""
+    return rules.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return minhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words in long spans that occur more than once."""
+    return debruijn.without_repeated_words(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's tokens lie in training sequences."""
+    return packing.pack_documents(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Models, signatures and token ids aren't expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{i}")
+    return docs

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -34,13 +34,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+def _rank_map(ranks: dict[bytes, int]) -> Column:
     """The ranks as one literal: an array of small maps, since a lookup in a map is linear. Bytes are written as Latin-1."""
     slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
     for token, rank in ranks.items():
         slots[zlib.crc32(token.decode("latin-1").encode()) % _SLOTS][token.decode("latin-1")] = rank
-    table = spark.createDataFrame([(json.dumps(slots),)], "j string")
-    return table.select(F.from_json("j", "array<map<string,int>>").alias("ranks")).scalar()
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
 def encoded(word: Column, ranks: Column) -> Column:
@@ -151,7 +150,7 @@ def dictionary(texts: DataFrame, pattern: str, ranks: dict[bytes, int], words: i
     if least is None:
         return {}
     frequent = counts.where(step >= least).repartition(max(1, total // 4000))
-    got = frequent.select("word", encoded(F.col("word"), _rank_map(texts.sparkSession, ranks)).alias("ids")).toArrow()
+    got = frequent.select("word", encoded(F.col("word"), _rank_map(ranks)).alias("ids")).toArrow()
     return {w: np.asarray(i, "<u4").tobytes() for w, i in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True)}
 
 

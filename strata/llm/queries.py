@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, debruijn, fingerprint, minhash, packing, rules, sharding, suffix
+from . import bpe, chat, crf, debruijn, fingerprint, minhash, packing, rules, sharding, suffix
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = debruijn.remove_repeated_words(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -66,13 +70,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_chat_formatting": op2_chat_formatting,
-        "op7_best_fit_packing": op7_best_fit_packing,
-        "op9_byte_level_bpe": op9_byte_level_bpe,
         "op3_document_fingerprints": op3_document_fingerprints,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_substring_dedup": op5_substring_dedup,
-        "op10_suffix_array_dedup": op10_suffix_array_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_sharding": op8_sharding,
+        "op9_byte_level_bpe": op9_byte_level_bpe,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
