@@ -51,7 +51,7 @@ def _statistics(rows: DataFrame, text: str, prefix: str) -> DataFrame:
             a -> a.n))[0]""".replace("{w}", str(WINDOW))
     return out.withColumns(
         {
-            f"{p}word_chars": F.expr(f"cast(length(translate(`{text}`, ' \\t\\n\\u000B\\f\\r', '')) as long)"),
+            f"{p}word_chars": F.expr(f"cast(length(translate(`{text}`, ' \\t\\n\\u000B\\u000C\\r', '')) as long)"),
             f"{p}n_symbols": F.expr(f"cast(length(`{text}`) - length(translate(`{text}`, '#*$%&|<>', '')) as long)"),
             f"{p}n_lines": F.expr(f"cast(size(`{p}lines`) as long)"),
             f"{p}n_dup_lines": F.expr(f"cast(size(`{p}lines`) - size(array_distinct(`{p}lines`)) as long)"),
