@@ -2,7 +2,7 @@
 
 Rows are shuffled by a seeded hash within their source and ranked there; the row of rank r of n gets the
 fraction (r - 1/2) / n. Sorted by fraction, all sources are spread evenly over the whole order, so equal
-cuts of it have equal mixtures, up to one row a source.
+cuts of it have equal mixtures: each cut is within half a row a source of the place that would be exact.
 
 Neither order is ever sorted in one task. A source is cut into cells by the hash, which is uniform
 whatever the source's size, and a rank is the cell's offset (a running sum over the small table of cells)
