@@ -7,11 +7,15 @@ their weighted Jaccard similarity. The weight axis is discretised hierarchically
 is a process of its own with rate in proportion to its width, so a shingle of weight w costs log2 w processes, and in the last shell
 points at or above w are passed over. A process is followed only until its time passes the largest value in the signature so far.
 
-Equal texts are first collapsed to one node. Nodes with equal bands of the signature share a bucket. In each bucket the nodes are
-compared with its first one (a star, so pairs grow with the members and not with their square), verified by exact multiset overlap,
-and links become components. Buckets that still hold several components get further pivots, twice as many in each
-round, until every pair in a bucket is in one component or was compared. So no link between nodes of a bucket is lost, and large
-groups of copies are settled by their first star.
+Equal texts are first collapsed to one node. Nodes with equal bands of the signature share a bucket, whose smallest node is its pivot.
+Pairs are compared only if sizes and signatures leave it open that they are similar enough, and then by exact multiset overlap.
+
+1. Each node is compared with the smallest of its pivots: one pair a node, which settles groups of near copies as a star.
+2. Of buckets that still hold several components, nodes leave of which too many shingles occur in no other text there: they can't have a link.
+3. In what is left, every pair of a bucket is decided exactly in one product of shingle matrices, block by block where a bucket is large, and of the
+   links found those are given that join components. No pair is written out.
+
+So every pair of texts that shares a bucket is in one component or was found not to be similar enough; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key, text_or_empty
@@ -96,7 +100,7 @@ def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sign", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,12 +118,14 @@ def _sign(bands: int, rows: int):
                         words, at = word_symbols(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
                         bags += [shingles(words[a:b]) for a, b in zip(at, at[1:])]
                     i = j
-                h = band_hashes(signatures(bags, bands * rows), bands, rows).view(np.int64)
+                times = signatures(bags, bands * rows)
+                h = band_hashes(times, bands, rows).view(np.int64)
+                short = (mix(times.view(U)) & U(0xFFFF)).astype("<u2")
                 sizes = np.array([int(w.sum()) for _, w in bags])
                 part = batch.slice(lo, hi - lo)
                 full = np.where(sizes > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(h[sizes > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("node"), pa.array(sizes, pa.int64()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("node"), pa.array(sizes, pa.int64()), lists, pa.array([x.tobytes() for x in short], pa.binary())], schema=schema)
                 lo = hi
 
     return sign
@@ -160,10 +166,37 @@ def _links(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").mapInArrow(_verify(*least), "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the smallest node of its component, for every node of links (u, v). By alternating large and
-    small stars (Kiveris et al., 2014); each step is written out, nothing is gathered in one place."""
+#: Links of which one task finds the components; more are settled by joins.
+TOGETHER = 1_000_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], schema=pa.schema([("node", pa.int64()), ("root", pa.int64())]))
+
+
+def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """node, root: the smallest node of its component, for every node of links (u, v).
+
+    Up to `together` links, a bounded amount, go through one task. More are settled by alternating large and small stars (Kiveris et al.,
+    2014); each step is written out and nothing is gathered in one place.
+    """
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if links.count() <= together:
+        return materialize(links.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -178,6 +211,118 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+#: Nodes of a block; a bucket of more is compared block by block.
+BLOCK_NODES = 512
+#: Pairs whose signatures agree in a smaller share of components aren't compared.
+SLACK = 0.2
+
+
+def _plausible(m: int, least: tuple[int, int]) -> Column:
+    """Whether the sizes of two texts and their signatures (16 bits a component) leave it open that they are similar enough. A
+    pair of similarity 0.8 agrees in less than 0.6 of 120 components with probability 3e-8."""
+    num, den = least
+    agree = f"size(filter(sequence(1, {2 * m - 1}, 2), i -> substring(sign, i, 2) = substring(other_sign, i, 2)))"
+    return F.expr(f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and {agree} >= {m * (num / den - SLACK)}")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Buckets of three nodes and more that hold several components; with what tells their sets of nodes apart."""
+    found = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes")
+    )
+    return found.where("r <> s and n > 2").drop("r", "s")
+
+
+def similar_pairs(bags: list[tuple[np.ndarray, np.ndarray]], num: int, den: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of bags whose weighted Jaccard similarity is num / den or more. The k-th copy of a shingle is an item of its own, so
+    an overlap is a count of common items: a product of 0-1 matrices, made for some thousand items at a time."""
+    n = len(bags)
+    rows = np.repeat(np.arange(n), [int(w.sum()) for _, w in bags])
+    items = [np.repeat(h, w) + U(0x9E3779B97F4A7C15) * (np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)).astype(U) for h, w in bags]
+    _, item, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    common = often[item] > 1
+    rows, item = rows[common], np.unique(item[common], return_inverse=True)[1]
+    order = np.argsort(item, kind="stable")
+    rows, item = rows[order], item[order]
+    overlap = np.zeros((n, n), np.float32)
+    for lo in range(0, int(item[-1]) + 1 if len(item) else 0, chunk):
+        a, b = np.searchsorted(item, [lo, lo + chunk])
+        x = np.zeros((n, chunk), np.float32)
+        x[rows[a:b], item[a:b] - lo] = 1
+        overlap += x @ x.T
+    size = np.array([int(w.sum()) for _, w in bags], np.float64)
+    return np.nonzero(np.triu((den * overlap >= num * (size[:, None] + size[None, :] - overlap)) & (overlap > 0), 1))
+
+
+def _within(num: int, den: int):
+    """Links between components, within buckets or pairs of their blocks. Of links that join the same components one is given."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        parent = {r[1]: r[1] for r in rows}
+        if len(parent) < 2:
+            return []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i, j in zip(*similar_pairs([shingles(text_words(np.frombuffer(r[2], np.uint8))) for r in rows], num, den), strict=True):
+            a, b = find(rows[i][1]), find(rows[j][1])
+            if a != b:
+                parent[b] = a
+                out.append((rows[i][0], rows[j][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            texts = batch.column("text")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "root")), strict=True)):
+                if row[:3] != key:
+                    out += solve(held)
+                    key, held = row[:3], []
+                held.append((row[3], row[4], texts[i].as_buffer().to_pybytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+                out = []
+        out += solve(held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64())])
+    for batch in batches:
+        data, cuts = buffers(batch.column("text"))
+        nodes = batch.column("node").to_numpy()
+        for i in range(batch.num_rows):
+            h, w = shingles(text_words(data[cuts[i] : cuts[i + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), nodes[i])), pa.array(h.view(np.int64)), pa.array(w)], schema=schema)
+
+
+def _able(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those of the nodes that can be similar enough to another one. A shingle that no other of them has is in no overlap, so a
+    text can reach at most the share of its other shingles. Exact: it settles groups of variants that each differ from all others
+    by a little too much, of which no pair is a link and every pair looks like one."""
+    num, den = least
+    counted = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_counted, "node long, shingle long, n long")
+    own = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("n").alias("n")).where("texts = 1")
+    own = own.groupBy("node").agg(F.sum("n").alias("own"))
+    return nodes.join(own, "node", "left").where(f"{den} * (size - coalesce(own, 0)) >= {num} * size").select("node")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that aren't in one component yet."""
+    a = roots.select("node", F.col("root").alias("a"))
+    b = roots.select(F.col("node").alias("pivot"), F.col("root").alias("b"))
+    return pairs.join(a, "node", "left").join(b, "pivot", "left").where("coalesce(a, node) <> coalesce(b, pivot)").select("node", "pivot")
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, key (names rows of equal id and text), node (equal for equal texts), class_node (equal within
     a class of near duplicates), class_id (the smallest doc_id of the class), n_shingles.
@@ -189,37 +334,39 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     """
     text = text_or_empty()
     source = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), F.xxhash64(F.length(text), text).alias("node"), text.alias("text"))
-    signed = materialize(source.mapInArrow(_sign(bands, rows), "doc_id long, key long, node long, size long, buckets array<long>"), "signed")
-    nodes = signed.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
-    members = nodes.select("node", "key", "size", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = materialize(members.join(shared, "bucket"), "members")
-    texts = source.join(members.select("node", "key").distinct(), ["node", "key"], "left_semi").select("node", "text")
-    texts = materialize(texts, "texts")
-
-    num, den = least
-    close = f"{den} * least(size, other_size) >= {num} * greatest(size, other_size)"
-    ids = members.select(F.col("bucket"), F.col("node").alias("pivot"), F.col("size").alias("other_size"))
-    pairs = materialize(members.join(ids, ["bucket", "pivot"]).where(f"node <> pivot and {close}").select("pivot", "node").distinct(), "pairs")
-    tried, links, done = pairs, materialize(_links(pairs, texts, least), "found"), 1
-    roots = components(links)
-    while True:
-        now = members.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where(f"a <> b and n > {done + 1}").select("bucket")
-        ranked = materialize(now.join(open_, "bucket").withColumn("rank", F.expr("row_number() over (partition by bucket order by node)")).where(f"rank > {done}"), "open")
-        chosen = ranked.where(f"rank <= {2 * done + 1}").select("bucket", F.col("node").alias("pivot"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"))
-        more = ranked.join(chosen, "bucket").where(f"rank > other_rank and root <> other_root and {close}").select("pivot", "node").distinct()
-        more = materialize(more.join(tried, ["pivot", "node"], "left_anti"), "pairs")
-        done = 2 * done + 1
-        if more.isEmpty():
-            if ranked.where(f"rank > {done}").isEmpty():
-                break
-            continue
-        tried = tried.unionByName(more)
-        found = materialize(_links(more, texts, least), "found")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+    signed = materialize(source.mapInArrow(_sign(bands, rows), "doc_id long, key long, node long, size long, buckets array<long>, sign binary"), "signed")
+    spread = signed.select("node", F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("bucket", "pivot")
+    members = materialize(spread.join(shared, "bucket").select("bucket", "node", "pivot").distinct(), "members")
+    # one row of each node that shares a bucket: which row has its text, its size and its signature
+    nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
+    nodes = materialize(nodes.agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("sign").alias("sign")), "nodes")
+    texts = materialize(source.join(nodes.select("node", "key"), ["node", "key"], "left_semi").select("node", "text"), "texts")
+    about = nodes.select("node", "size", "sign")
+    pivots = about.select(F.col("node").alias("pivot"), F.col("size").alias("other_size"), F.col("sign").alias("other_sign"))
+    near = _plausible(bands * rows, least)
+
+    stars = members.where("node <> pivot").select("node", "pivot").distinct().join(about, "node").join(pivots, "pivot").where(near).select("node", "pivot")
+    stars = materialize(stars, "stars")
+    first = stars.groupBy("node").agg(F.min("pivot").alias("pivot"))
+    found = materialize(_links(first, texts, least), "found")
+    roots = components(found)
+
+    rest = materialize(_across(stars.join(first, ["node", "pivot"], "left_anti"), roots), "pairs")
+    now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    # a bucket of two is one star; of buckets with the same nodes one is enough
+    open_ = _open(now).groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
+    rows_ = materialize(now.join(open_.select("bucket"), "bucket"), "open")
+    able = _able(rows_.select("node").distinct().join(about, "node").select("node", "size"), texts, least)
+    rows_ = materialize(rows_.join(able, "node", "left_semi"), "able")
+    open_ = _open(rows_).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
+    rows_ = rows_.join(open_.select("bucket", "blocks"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows_ = rows_.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root").join(texts, "node")
+    within = rows_.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node").mapInArrow(_within(*least), "u long, v long")
+    more = materialize(within.unionByName(_links(rest, texts, least)), "found")
+    if not more.isEmpty():
+        roots = components(found.unionByName(more))
     placed = signed.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("class_node"), F.col("size").alias("n_shingles"))
     return placed.join(placed.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("class_key")), "class_node").select(
         "doc_id", "key", "node", "class_node", "class_id", "n_shingles"

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from strata.llm import minhash
 
@@ -80,10 +81,11 @@ def test_one_of_each_class_stays_and_empty_table(spark):
     assert sorted(str(r["text"]) for r in rows) == ["None", "a b", "c"]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [0, 10_000])
+def test_components(spark, together):
     rng = random.Random(9)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "u long, v long"), together).collect()}
     root = {x: x for l in links for x in l}
     moved = True
     while moved:
