@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
-#: Words of the dictionary at most, and bytes of one of them; words seen less often in a batch of rows aren't candidates.
-WORDS, WORD_BYTES, SEEN = 200_000, 64, 2
+#: Words of the dictionary at most, and bytes of one of them; words seen less often in ROWS rows aren't candidates.
+WORDS, WORD_BYTES, SEEN = 120_000, 64, 2
+#: Rows that a task handles at once.
+ROWS = 2000
 _SLOTS = 1 << 14
 
 
@@ -127,9 +129,9 @@ def _count(pattern: str, seen: int, most: int):
         import regex
 
         find = regex.compile(pattern).findall
-        for batch in batches:
+        for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             words: Counter = Counter()
-            for text in batch.column("text"):
+            for text in part.column("text"):
                 words.update(find(text.as_py()))
             words = {w: n for w, n in words.items() if n >= seen and len(w) <= most and len(w.encode()) <= most}
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=schema)
@@ -168,8 +170,9 @@ class _Words(dict):
 _state: dict = {}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row.
+def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row; with decoded also what decode() makes
+    of the ids, bytes, in the same pass.
 
     A null text counts as empty and has no ids. A null doc_id is carried, repeated rows are encoded each. An empty table gives no rows.
     Other columns are ignored. Strings of special tokens are ordinary text.
@@ -178,34 +181,46 @@ def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> Data
     ranks = load_ranks(path)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     known = sc.broadcast((dictionary(texts.select("text"), pattern, ranks, words), ranks))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("bytes", pa.binary())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         if _state.get("id") is not known:
-            _state.update(id=known, words=_Words(*known.value))
-        ids_of = _state["words"].__getitem__
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = pa.array((b"".join(map(ids_of, find(t.as_py()))) for t in part.column("text")), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], schema=schema)
+            _state.clear()
+            _state.update(id=known, words=_Words(*known.value), pieces=_pieces(known.value[1]))
+        ids_of, pieces = _state["words"].__getitem__, _state["pieces"]
+        for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            ids = [b"".join(map(ids_of, find(t.as_py()))) for t in part.column("text")]
+            columns = [part.column("doc_id"), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array((_joined(x, pieces) for x in ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, ids binary" + ", bytes binary" * decoded)
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Bytes by id."""
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
 
-    return texts.mapInArrow(run, "doc_id long, ids binary")
+def _joined(ids: bytes, pieces: list[bytes | None]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded_rows: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and bytes (binary) of every row of doc_id and ids. An id without a token is an error; null ids stay null."""
-    table = {r: t for t, r in load_ranks(path).items()}
-    pieces = encoded_rows.sparkSession.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
+    pieces = encoded_rows.sparkSession.sparkContext.broadcast(_pieces(load_ranks(path)))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
-        for batch in batches:
-            data = (None if not x.is_valid else b"".join(map(piece, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column("ids"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], schema=schema)
+        for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            data = (_joined(x.as_buffer(), pieces.value) if x.is_valid else None for x in part.column("ids"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(data, pa.binary())], schema=schema)
 
     return encoded_rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")

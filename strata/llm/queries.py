@@ -47,7 +47,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizers.path("byte_bpe_50k.tiktoken")
-    got = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN), ranks)
+    got = bpe.encode(read(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN, decoded=True)
     return got.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),

@@ -33,6 +33,8 @@ def test_bpe_like_tiktoken(spark, words):
         text = texts()[r["doc_id"]] or ""
         assert np.frombuffer(r["ids"], "<u4").tolist() == other.encode_ordinary(text)
         assert bytes(r["bytes"]) == text.encode()
+    once = bpe.encode(documents(spark, texts()), RANKS, P.PATTERN, words, decoded=True).collect()
+    assert {(r["doc_id"], bytes(r["ids"]), bytes(r["bytes"])) for r in once} == {(r["doc_id"], bytes(r["ids"]), bytes(r["bytes"])) for r in rows}
     assert bpe.encode(documents(spark, []), RANKS, P.PATTERN, words).count() == 0
 
 
