@@ -1,0 +1,171 @@
+"""Column expressions and ordered operators against NumPy and plain Python."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strata.functions import casts as C
+from strata.functions import color as K
+from strata.functions import geometry as G
+from strata.operators import lookup as J
+from strata.operators import ordered as O
+from strata.operators import validate as V
+from strata.streaming import checks
+
+NAN, INF = float("nan"), float("inf")
+
+
+def column(spark, values, kind="double"):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"pos long, v {kind}")
+
+
+def got(df, *columns):
+    return [tuple(r) if len(columns) > 1 else r[0] for r in df.orderBy("pos").select(*columns).collect()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_discrete_colormap(spark, seed):
+    rng = random.Random(seed)
+    cuts = sorted(rng.choice([1.0, 2.0, 2.5, 4.0]) for _ in range(3))
+    bounds = [K.Boundary(c, rng.random() < 0.5) for c in cuts]
+    values = [None, NAN, -INF, INF, *cuts, *(rng.uniform(0, 5) for _ in range(20))]
+    want = []
+    for v in values:
+        hits = [i for i, b in enumerate(bounds) if v is not None and (v <= b.value if b.inclusive else v < b.value)]
+        want.append(None if v is None else hits[0] if hits else len(bounds))
+    df = column(spark, values)
+    assert got(df, K.discrete_bin(F.col("v"), bounds)) == want
+    palette = [(i, 0, 0, 255) for i in range(4)]
+    assert [c and c["r"] for c in got(df, K.discrete_color(F.col("v"), bounds, palette))] == want
+    with pytest.raises(ValueError):
+        K.discrete_color(F.col("v"), bounds, palette[:3])
+    with pytest.raises(ValueError):
+        K.discrete_bin(F.col("v"), [K.Boundary(2), K.Boundary(1)])
+
+
+def test_continuous_colormap(spark):
+    gradient = [(0, 10, 255, 255), (100, 20, 128, 200), (255, 0, 0, 0)]
+    values = [None, -5.0, 0.0, 2.5, 5.0, 7.5, 10.0, 99.0]
+    df = column(spark, values)
+    rows = got(df, K.continuous_color(F.col("v"), 0, 10, gradient))
+    for v, c in zip(values, rows):
+        if v is None:
+            assert c is None
+            continue
+        at = min(max(v / 10, 0), 1) * 2
+        want = [np.interp(at, [0, 1, 2], [g[i] for g in gradient]) for i in range(4)]
+        assert np.abs(np.array(c) - want).max() <= 0.5
+    assert got(df, K.continuous_color(F.col("v"), 5, 5, gradient))[3:5] == [gradient[0], gradient[0]] and tuple(got(df, K.continuous_color(F.col("v"), 5, 5, gradient))[5]) == gradient[2]
+    assert {tuple(c) for c in got(df, K.continuous_color(F.col("v"), 0, 1, gradient[:1])) if c} == {gradient[0]}
+    assert got(df, K.color_or(F.lit(None).cast("struct<r:int,g:int,b:int,a:int>"), default=(1, 2, 3, 4)))[0] == (1, 2, 3, 4)
+
+
+def test_texture_coordinates(spark):
+    df = column(spark, [-0.25, 0.0, 0.75, 1.0, 2.5])
+    assert got(df, K.wrap(F.col("v"))) == [0.75, 0, 0.75, 0, 0.5]
+    assert got(df, K.projected([F.col("v")], (0.5,), (2.0,), 4))[4] == 1.0
+
+
+def test_casts(spark):
+    for source, target, ok in (("F32", "F64", True), ("F64", "F32", False), ("I64", "F64", False), ("F64", "I64", False), ("Date", "F64", True), ("DateTime", "I64", True), ("DateTime", "Date", False)):
+        if not ok:
+            with pytest.raises(C.UnsafeCast):
+                C.to_kind(F.lit(1), source, target)
+    assert C.kind_of("bigint") == "I64" and C.kind_of("timestamp_ntz") == "DateTime"
+    us = [-1_500_001, -1, 0, 1, 1_700_000_000_123_456, 253_402_300_799_999_999]
+    assert got(column(spark, us, "long"), C.seconds(F.col("v"))) == [float(int(u / 10**6) if abs(u) < 2**53 else u // 10**6) + float(np.fmod(u, 10**6)) / 1e6 for u in us]
+    times = [dt.datetime(1969, 12, 31, 23, 59, 59, 5), dt.datetime(2000, 1, 1)]
+    df = column(spark, times, "timestamp_ntz")
+    assert got(df, C.to_kind(F.col("v"), "DateTime", "I64")) == [-999_995, 946_684_800_000_000]
+    days = column(spark, [-800_000, 0, 20_000], "long")
+    assert got(days, C.to_kind(C.days_to_date(F.col("v")), "Date", "I64")) == [-800_000, 0, 20_000]
+    v, mask = C.value_and_mask(F.col("v"), 7.0)
+    assert got(column(spark, [None, 1.0]), v, mask) == [(7.0, True), (1.0, False)]
+    assert got(column(spark, [None, NAN, 1.0]), C.not_nan(F.col("v"))) == [None, None, 1.0]
+    index, outside = C.category_index(F.col("v"))
+    assert got(column(spark, [-1, -2, 0, 2**32], "long"), index, outside) == [(None, False), (-2, True), (0, False), (2**32, True)]
+
+
+def test_grids(spark):
+    count = [3, 4, 5]
+    df = spark.range(60).withColumnRenamed("id", "pos")
+    i, j, k = G.unflatten(F.col("pos"), count)
+    rows = got(df, i, j, k, G.flatten([i, j, k], count))
+    assert [r[3] for r in rows] == list(range(60)) and rows[:4] == [(0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 0, 2), (0, 1, 0, 3)]
+    u, v = (0.6, 0.8, 0.0), (-0.8, 0.6, 0.0)
+    local = [F.col("pos") * 1.0, F.col("pos") * 2.0, F.lit(3.0)]
+    world = G.to_world(local, (10, 20, 30), [u, v, (0, 0, 1)])
+    back = G.to_local(world, (10, 20, 30), [u, v, (0, 0, 1)])
+    rows = np.array(got(df, *world, *back), float)
+    n = np.arange(60)[:, None]
+    want = np.array([10, 20, 30]) + n * np.array(u) + 2 * n * np.array(v) + 3 * np.array([0, 0, 1])
+    assert np.allclose(rows[:, :3], want) and np.allclose(rows[:, 3:], np.hstack([n, 2 * n, 0 * n + 3]))
+    center, size = G.subblock_regular(F.col("pos"), F.col("pos") % 3, F.col("pos") % 3 + 1, 4, 2.5)
+    low, high = (G.subblock_corner(center, size, F.col("pos"), 4, 2.5, up) for up in (False, True))
+    assert got(df, low, high) == [(p % 3, p % 3 + 1) for p in range(60)]
+    assert G.octree_sizes([16, 16, 2]) == [(16, 16, 2), (8, 8, 1), (4, 4, 1), (2, 2, 1), (1, 1, 1)] and G.full_sizes([1, 1]) == [(1, 1)]
+    one = column(spark, [3.0, 0.0])
+    assert got(one, *G.normalized([F.col("v"), F.col("v") * 0, F.col("v") * 4 / 3])) == [(0.6, 0.0, 0.8), (0.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 17])
+def test_ordered(spark, block):
+    rng = np.random.default_rng(4)
+    values = rng.integers(-9, 9, 50).tolist()
+    df = column(spark, values, "long").repartition(5)
+    assert got(O.running_sum(df, F.col("v"), "s", block=block), "s") == [0, *np.cumsum(values)[:-1]]
+    assert got(O.previous(df, F.col("v"), "p", block=block), "p") == [None, *values[:-1]]
+    gaps = df.where("pos % 7 <> 3")
+    left = [v for i, v in enumerate(values) if i % 7 != 3]
+    assert got(O.previous(gaps, F.col("v"), "p", block=block), "p") == [None, *left[:-1]]
+    by = df.withColumn("g", F.col("pos") % 2)
+    want = [sum(values[j] for j in range(i) if j % 2 == i % 2) for i in range(50)]
+    assert got(O.running_sum(by, F.col("v"), "s", by=["g"], block=block), "s") == want
+
+
+def test_positions_and_padding(spark):
+    df = column(spark, [5.0, 3.0, 9.0, 1.0, 7.0] * 20).withColumnRenamed("pos", "old")
+    rows = O.with_position(df, "v", "old", parts=4).orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(100)) and [(r["v"], r["old"]) for r in rows] == sorted((r["v"], r["old"]) for r in rows)
+    assert got(O.padded(column(spark, ["a", "b"], "string"), 4, {"v": ""}), "v") == ["a", "b", "", ""]
+    assert got(O.padded(column(spark, ["a", "b"], "string"), 1, {"v": ""}), "v") == ["a"]
+    assert O.best(column(spark, [2.0, 8.0, 8.0]), F.col("pos"), F.col("v")).first()["best"] == 2
+
+
+def test_checks(spark):
+    df = column(spark, [NAN, -INF, -1.0, 0.0, 1.0, None])
+    assert got(df, V.not_finite(F.col("v")), V.not_above_zero(F.col("v")))[:5] == [(True, False), (True, True), (False, True), (False, True), (False, False)]
+    assert df.agg(V.minimum(F.col("v"))).first()[0] == -INF and df.where("v > 5 and not isnan(v)").agg(V.minimum(F.col("v"))).first()[0] == INF
+    assert got(df, V.wrong_range(F.col("v"), F.lit(0.5)))[2:5] == [False, False, True]
+    idx = column(spark, [None, 3, 4], "long")
+    assert got(idx, V.index_outside(4, F.col("v"))) == [False, False, True] and idx.where("v is null").agg(V.maximum_index(F.col("v"))).first()[0] == 0
+    assert got(df, V.freeform_corners([F.col("v")], [F.lit(1.0)]))[:5] == ["ok", "outside", "outside", "ok", "zero_size"]
+    rows = [(low, high) for low in range(5) for high in range(low + 1, 6)]
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos long, a long, b long")
+    octree = got(pairs, V.mode_broken([F.col("a")], [F.col("b")], [4], "octree"))
+    assert octree == [not (b - a in (1, 2, 4) and a % (b - a) == 0) for a, b in rows]
+    wide = V.mode_broken([F.col("a"), F.lit(0)], [F.col("b"), F.lit(1)], [4, 2], "octree")
+    assert got(pairs, wide) == [not (b - a in (1, 2) and a % (b - a) == 0) for a, b in rows]
+    axes = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 1.0), (1, 0.6, 0.8, -0.8, 0.6), (2, 1.0, 0.0, 0.1, 1.0)], "pos long, a double, b double, c double, d double")
+    assert got(axes, V.not_orthogonal([F.col("a"), F.col("b")], [F.col("c"), F.col("d")]), V.not_unit([F.col("c"), F.col("d")])) == [(False, False), (False, False), (True, True)]
+    top = spark.createDataFrame([(0, 1, 5), (1, 3, 6), (2, 3, 7)], "pos long, u long, v long")
+    assert tuple(top.agg(V.first_largest(F.struct("u", "v"), F.col("u"), F.col("pos"))).first()[0]) == (3, 6)
+
+
+def test_triangles(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 3.0, 0.0), (3, 0.0, 0.0, 1.0)], "pos long, x double, y double, z double")
+    t = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "a long, b long, c long")
+    rows = J.triangles(t, v, ["x", "y", "z"]).orderBy("b").collect()
+    assert [(r["nx"], r["ny"], r["nz"]) for r in rows] == [(0, 0, 6), (3, 0, 0)]
+
+
+def test_checks_on_a_stream(spark, tmp_path):
+    column(spark, [1.0, -2.0, NAN]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("pos long, v double").parquet(str(tmp_path / "in"))
+    rules = {"must be finite": V.not_finite(F.col("v")), "must be greater than zero": V.not_above_zero(F.col("v"))}
+    q = checks.problems(stream, rules).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("found").collect())) == [(1, "must be greater than zero"), (2, "must be finite")]
