@@ -390,6 +390,60 @@ def head_k(spark, d):
     return O.head(table(spark, d, "part").select(F.col("p_partkey").alias("pos"), "p_name"), 5)
 
 
+@_query("SELECT o_orderkey AS pos FROM orders WHERE o_totalprice > 200000e0 + o_custkey")
+def val_range_order(spark, d):
+    low, high = F.col("o_totalprice"), F.lit(200000.0) + F.col("o_custkey")
+    return table(spark, d, "orders").where(V.wrong_range(low, high)).select(F.col("o_orderkey").alias("pos"))
+
+
+@_query(
+    "SELECT vec_id AS pos FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings) WHERE abs((a*c+b*d)/(sqrt(a*a+b*b)*sqrt(c*c+d*d))) >= 1e-6"
+)
+def val_orthogonal(spark, d):
+    wrong = V.not_orthogonal([_component(0), _component(1)], [_component(2), _component(3)])
+    return table(spark, d, "embeddings").where(wrong).select(F.col("vec_id").alias("pos"))
+
+
+@_query(
+    "WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_orderkey%8 AS pu, CAST(ROUND(l_quantity) AS BIGINT)%4 AS mn FROM lineitem) SELECT k, n, pu AS parent, mn AS low, CAST(4 AS BIGINT) AS high FROM s"
+)
+def subblock_from_centroid(spark, d):
+    rows = subblock_regular_geometry(spark, d)
+    parent = G.block_of(F.col("cx"), 400.0)
+    low, high = (G.subblock_corner(F.col("cx"), F.col("dx"), parent, 4, 100.0, up) for up in (False, True))
+    return rows.select("k", "n", parent.alias("parent"), low.alias("low"), high.alias("high"))
+
+
+@_query("SELECT l_orderkey%8 + 8*(l_partkey%6) AS pos, COUNT(*) AS n, ROUND(SUM(l_quantity),2) AS total, MIN(p_retailprice) AS x FROM lineitem JOIN part ON p_partkey = l_orderkey%8 + 8*(l_partkey%6) GROUP BY 1")
+def subblock_parent_join(spark, d):
+    parents = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("x"))
+    sub = table(spark, d, "lineitem").select(G.flatten([F.col("l_orderkey") % 8, F.col("l_partkey") % 6], [8, 6]).alias("pos"), "l_quantity")
+    # as many rows as blocks meet the parents, not as many as sub-blocks
+    sums = J.totals(sub, "pos", total=F.col("l_quantity"))
+    return sums.join(parents, "pos").select("pos", "n", F.round("total", 2).alias("total"), "x")
+
+
+@_query("SELECT event_id AS pos, CASE WHEN value < 10 THEN '#010203ff' WHEN user_id % 2 = 0 THEN '#ff0000ff' ELSE '#808080ff' END AS hex FROM events")
+def color_default(spark, d):
+    own, element = F.when(F.col("value") < 10, K.color((1, 2, 3, 255))), F.when(F.col("user_id") % 2 == 0, K.color((255, 0, 0, 255)))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("pos"), K.color_or(own, element).alias("c"))
+    return rows.select("pos", K.rgba_hex(*(F.col(f"c.{n}") for n in "rgba")).alias("hex"))
+
+
+@_query("SELECT event_id AS pos, CASE WHEN user_id % 7 = 0 THEN NULL ELSE value END AS v FROM events")
+def nan_to_null(spark, d):
+    v = F.when(F.col("user_id") % 7 == 0, float("nan")).otherwise(F.col("value"))
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.not_nan(v).alias("v"))
+
+
+@_query(
+    "SELECT c_nationkey AS element, COUNT(*) AS n, MIN(c_acctbal) AS x0, MAX(c_acctbal) AS x1 FROM customer GROUP BY 1"
+)
+def element_extents(spark, d):
+    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("element"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("x0"), F.max("c_acctbal").alias("x1"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events with their colors of a discrete colormap, as hex."""
     c = K.discrete_color(F.col("value"), DISCRETE, PALETTE)

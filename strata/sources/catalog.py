@@ -337,3 +337,40 @@ def map_arrays(node, f: Callable[[dict], dict]):
             return f(node)
         return {k: map_arrays(v, f) for k, v in node.items()}
     return [map_arrays(x, f) for x in node] if isinstance(node, list) else node
+
+
+def json_schema() -> dict:
+    """The index's format as JSON schema, draft 2019-09. What isn't required has a default."""
+    ref = lambda name: {"$ref": f"#/$defs/{name}"}
+    text, number, count = {"type": "string"}, {"type": "number"}, {"type": "integer", "minimum": 0}
+    many = lambda of: {"type": "array", "items": of}
+    fixed = lambda of, n: {"type": "array", "items": of, "minItems": n, "maxItems": n}
+
+    def record(needed: dict, **optional) -> dict:
+        return {"type": "object", "properties": needed | optional, "required": list(needed)}
+
+    def one_of(**variants: dict) -> dict:
+        return {"oneOf": [v | {"properties": {"type": {"const": k}} | v["properties"], "required": ["type", *v["required"]]} for k, v in variants.items()]}
+
+    array, vector, meta = ref("Array"), fixed(number, 3), {"type": "object"}
+    values = {"values": array}
+    defs = {
+        "Array": record({"filename": text, "item_count": count}),
+        "Orient": record({}, origin=vector, u=vector, v=vector, w=vector),
+        "Grid": one_of(Regular=record({"size": many(number), "count": many(count)}), Tensor=record({"u": array, "v": array}, w=array)),
+        "Subblocks": one_of(Regular=record({"count": fixed(count, 3), "subblocks": array}, mode={"enum": ["Octree", "Full"]}), Freeform=record({"subblocks": array})),
+        "Colormap": one_of(Continuous=record({"range": record({"min": {"type": ["number", "string"]}, "max": {"type": ["number", "string"]}}), "gradient": array}), Discrete=record({"boundaries": array, "gradient": array})),
+        "Data": one_of(
+            Number=record(values, colormap=ref("Colormap")), Vector=record(values), Text=record(values), Boolean=record(values), Color=record(values),
+            Category=record(values | {"names": array}, gradient=array, attributes=many(ref("Attribute"))),
+            MappedTexture=record({"image": array, "texcoords": array}), ProjectedTexture=record({"image": array, "orient": ref("Orient"), "width": number, "height": number}),
+        ),
+        "Attribute": record({"name": text, "location": {"enum": ["Vertices", "Primitives", "Subblocks", "Elements", "Projected", "Categories"]}, "data": ref("Data")}, description=text, units=text, metadata=meta),
+        "Geometry": one_of(
+            PointSet=record({"vertices": array}, origin=vector), LineSet=record({"vertices": array, "segments": array}, origin=vector), Surface=record({"vertices": array, "triangles": array}, origin=vector),
+            GridSurface=record({"orient": ref("Orient"), "grid": ref("Grid")}, heights=array), BlockModel=record({"orient": ref("Orient"), "grid": ref("Grid")}, subblocks=ref("Subblocks")), Composite=record({"elements": many(ref("Element"))}),
+        ),
+        "Element": record({"name": text, "geometry": ref("Geometry")}, description=text, color=fixed({"type": "integer", "minimum": 0, "maximum": 255}, 4), metadata=meta, attributes=many(ref("Attribute"))),
+    }
+    root = record({"date": text}, name=text, description=text, coordinate_reference_system=text, units=text, origin=vector, author=text, application=text, metadata=meta, elements=many(ref("Element")))
+    return {"$schema": "https://json-schema.org/draft/2019-09/schema", "title": "Project"} | root | {"$defs": defs}
