@@ -20,7 +20,8 @@ class ProjectWriter:
     def __init__(self, spark: SparkSession, path: str, compression: int = 6, **options):
         self.spark = spark
         self.file = Writer(path, compression, **options)
-        self._frames: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {}  # arrays given as DataFrames, and
+        self._rows: dict[str, pa.Table] = {}  # as rows, by member
 
     def array(self, kind: str, variant: str, data: DataFrame | Sequence) -> dict:
         """Writes an array and gives the pointer to put in the tree."""
@@ -33,8 +34,7 @@ class ProjectWriter:
             fields = {f.name: [self._value(r[i], f.type) for r in rows] for i, f in enumerate(schema)}
             table = pa.table({f.name: pa.array(fields[f.name], f.type) for f in schema}, schema=schema)
             got = self.file.batches(kind, variant, table.to_batches())
-            self._frames[got.filename] = None
-            self._small = getattr(self, "_small", {}) | {got.filename: (kind, variant, table)}
+            self._rows[got.filename] = table
         return got.to_json()
 
     @staticmethod
@@ -46,17 +46,13 @@ class ProjectWriter:
     def image(self, data: bytes) -> dict:
         return self.file.image(data).to_json()
 
-    def _frame(self, filename: str) -> DataFrame | None:
-        df = self._frames.get(filename)
-        if df is None and filename in self._frames:
-            _, _, table = self._small[filename]
-            df = _frame_of(self.spark, table)
-        return df
+    def _frame(self, filename: str) -> DataFrame:
+        return self._frames[filename] if filename in self._frames else _frame_of(self.spark, self._rows[filename])
 
     def problems(self, project: dict, compat: bool = False) -> list[Problem]:
         problems, uses = check_tree(project, self.file.names, compat)
         for use in uses:
-            if use.array.filename in self._frames and _checked(use):
+            if use.array.filename in {**self._frames, **self._rows} and _checked(use):
                 problems += array_problems(self._frame(use.array.filename), use)
         return problems
 
