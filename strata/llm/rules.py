@@ -161,8 +161,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep(docs: DataFrame, threshold: float = 0.5, prefix: str = "__rule_") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     text, fence = f"{prefix}text", f"{prefix}fence"
+    texts = _statistics(docs.select(text_or_empty().alias(text)), text, prefix).drop(text)
+    prior, weights = _fit(materialize(_with_votes(texts, prefix), "rule-votes"), prefix)
     # a column that isn't deterministic, so that the filter isn't pushed below it and the statistics written out in it again and again
     counted = _statistics(docs.withColumn(text, text_or_empty()), text, prefix).withColumn(fence, F.monotonically_increasing_id())
-    prior, weights = _fit(_with_votes(counted, prefix), prefix)
     voted = _with_votes(counted, prefix).where(~_base_failed(prefix) & (_posterior(prefix, prior, weights) >= threshold) & (F.col(fence) >= 0))
     return voted.select(*(f"`{c}`" for c in docs.columns))
