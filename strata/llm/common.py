@@ -37,7 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executors that made it, and a frame used several times is computed once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/strata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() made, once nothing that is still to run reads them."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._table_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

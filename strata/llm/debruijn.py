@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import merged_spans, repeated_spans, rows_with_spans
+from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 35
 GRAM = 6
@@ -35,14 +35,14 @@ def _kept(data: bytes, spans: list[dict]) -> tuple[int, int, list[tuple[int, int
     return len(words), len(words) - len(kept), cut, b" ".join(kept)
 
 
-def remove_repeated_words(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, spans (begin, end, in words), kept and kept_sha256 of every row.
 
     Every word in a window that also begins elsewhere goes, or with keep_first in one that begins earlier, in order of
     doc_id and place. Kept words are joined by one space. A null text has no words. Rows of equal id and text are
     copies of each other and get equal results. An empty table gives no rows. Other columns are ignored.
     """
-    rows, spans = repeated_spans(docs, "word", length, GRAM, keep_first)
+    rows, spans = repeated_spans(docs, "word", length, GRAM, keep_first, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,14 +62,15 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, keep_first: boo
 def without_repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows and columns of docs; a text with repeated spans becomes its other words, joined by one space, and
     n_chars its length. Texts without any stay as they are."""
-    key = F.xxhash64(F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")))
-    _, spans = repeated_spans(docs, "word", length, GRAM)
-    by_row = spans.groupBy("key").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
+    rows, spans = repeated_spans(docs, "word", length, GRAM, whole_rows=True)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array((_kept(t.as_buffer().to_pybytes(), s.as_py())[3].decode() if s.is_valid else None for t, s in zip(texts, spans, strict=True)), pa.string())
 
-    marked = docs.withColumn("__key", key).join(by_row.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left")
-    marked = marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
-    return marked.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*(f"`{c}`" for c in docs.columns))
+    marked = rows_with_spans(rows, spans)
+    changed = F.col("spans").isNotNull()
+    text = F.when(changed, cut("text", "spans")).when(~F.col("rest.__no_text"), F.col("text"))
+    marked = marked.select(changed.alias("changed"), text.alias("text"), "rest")
+    n_chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return marked.select(*(F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns))

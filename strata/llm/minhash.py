@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import discard, materialize, row_key, text_or_empty
 from .repeats import BLOCK, U, buffers, hashes, mix, prefix_sums, word_symbols, _long_word_symbols
 
 SHINGLE = 5
@@ -196,7 +196,9 @@ def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
     """
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     if links.count() <= together:
-        return materialize(links.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
+        roots = materialize(links.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
+        discard(links)
+        return roots
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -204,7 +206,8 @@ def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        links = materialize(small.distinct(), "links")
+        before, links = links, materialize(small.distinct(), "links")
+        discard(before)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -356,9 +359,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     # a bucket of two is one star; of buckets with the same nodes one is enough
     open_ = _open(now).groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
-    rows_ = materialize(now.join(open_.select("bucket"), "bucket"), "open")
-    able = _able(rows_.select("node").distinct().join(about, "node").select("node", "size"), texts, least)
-    rows_ = materialize(rows_.join(able, "node", "left_semi"), "able")
+    opened = materialize(now.join(open_.select("bucket"), "bucket"), "open")
+    able = _able(opened.select("node").distinct().join(about, "node").select("node", "size"), texts, least)
+    rows_ = able_rows = materialize(opened.join(able, "node", "left_semi"), "able")
     open_ = _open(rows_).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
     rows_ = rows_.join(open_.select("bucket", "blocks"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -367,6 +370,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     more = materialize(within.unionByName(_links(rest, texts, least)), "found")
     if not more.isEmpty():
         roots = components(found.unionByName(more))
+    discard(members, nodes, texts, stars, found, rest, opened, able_rows, more)
     placed = signed.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("class_node"), F.col("size").alias("n_shingles"))
     return placed.join(placed.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("class_key")), "class_node").select(
         "doc_id", "key", "node", "class_node", "class_id", "n_shingles"

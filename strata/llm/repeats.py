@@ -9,10 +9,13 @@ places, so only runs with equal minimiser hashes can share windows:
 * A run whose whole content occurs again is repeated in full. That is one group-by on (minimiser, content).
 * Runs with a common minimiser and different contents - the edges of repeated passages - may share some windows.
   For them, one row for each different content is fetched from the text by its source coordinates, and
-  `resolve` sees all contents of a minimiser side by side.
+  `_resolve` sees all contents of a minimiser side by side.
+* Where a minimiser has more than MOST contents - a passage that a share of all documents has, each with other text around it - one
+  task can't hold them. There each window is a row of its own, known by its hash beside the minimiser's, and repeated ones are found by a
+  group-by with partial aggregation.
 * All other windows are unique.
 
-A hash of a run only says which contents are equal (64 bits of content beside 64 of the minimiser); windows of
+A hash says which contents, or windows of very many contents, are equal (64 bits beside 64 of the minimiser); else windows of
 different contents are compared symbol by symbol. Large groups of copies meet only in group-bys with partial
 aggregation and in joins without a cap on either side.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import discard, materialize, row_key, text_or_empty
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -172,7 +175,6 @@ def runs(symbols: np.ndarray, cuts: np.ndarray, length: int, gram: int, limit: i
     if n < length:
         return None
     lasts = n - length + 1
-    valid = np.zeros(lasts, np.int8)
     sizes = np.diff(cuts)
     fits = np.flatnonzero(sizes >= length)
     steps = np.zeros(lasts + 1, np.int32)
@@ -271,7 +273,30 @@ def factors(rank: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return previous, following
 
 
-def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 21) -> Callable:
+#: Contents of a minimiser that are compared in one task.
+MOST = 1000
+
+
+def _windows(unit: str, length: int) -> Callable:
+    """Every window of the runs, by its hash: for minimisers with so many contents that one task can't hold them."""
+    schema = pa.schema([("mini", pa.int64()), ("window", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            data, cuts = buffers(part.column("symbols"))
+            data, cuts = (byte_symbols(data), cuts) if unit == "byte" else (np.frombuffer(data.tobytes(), U), cuts // 8)
+            n = part.column("n").to_numpy()
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            places = np.repeat(cuts[:-1], n) + step
+            window = mix(hashes(prefix_sums(data), places, places + length))
+            whole = {c: np.repeat(part.column(c).to_numpy(), n) for c in ("mini", "copies", "doc_id", "key", "at")}
+            whole["at"] = whole["at"] + step
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64) if c == "window" else whole[c]) for c in schema.names], schema=schema)
+
+    return windows
+
+
+def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 20) -> Callable:
     """Decides each window of runs that share a minimiser with other contents. Rows come sorted by minimiser and
     by where they first occur."""
     schema = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("len", pa.int64())])
@@ -327,14 +352,15 @@ def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 21) ->
     return resolve
 
 
-def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans). rows: doc_id, key, text of docs, null texts as empty. spans: key, at, len of symbols covered
+def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool = False, most: int = MOST, whole_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans). rows: doc_id, key, text of docs, null texts as empty, and with whole_rows the row but its text in a struct, rest. spans: key, at, len of symbols covered
     by windows that also begin elsewhere, or with keep_first by windows that begin earlier, in order of doc_id
     and place. Spans can overlap. Rows with equal key are equal in id and text and share their spans."""
     if length > OVERLAP + 1 or gram > length:
         raise ValueError(f"windows of at most {OVERLAP + 1} symbols, grams of at most a window")
     text = text_or_empty()
-    rows = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), text.alias("text"))
+    rest = [F.struct(F.col("text").isNull().alias("__no_text"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")] if whole_rows else []
+    rows = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), text.alias("text"), *rest)
     found = materialize(
         rows.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), "key", "text").mapInArrow(
             _find_runs(unit, length, gram), "doc_id long, key long, at long, n int, mini long, content long"
@@ -342,23 +368,30 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_firs
         "runs",
     )
     again = found.groupBy("mini").count().where("count > 1").select("mini")
-    found = materialize(found.join(again, "mini", "left_semi"), "runs-again")
+    runs_, found = found, materialize(found.join(again, "mini", "left_semi"), "runs-again")
+    discard(runs_)
     contents = found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key", "at", "n")).alias("first"))
     whole = found.join(contents.where("copies > 1"), ["mini", "content"])
     if keep_first:
         whole = whole.where("key <> first.key or at <> first.at")
     whole = whole.select("key", "at", (F.col("n") + length - 1).cast("long").alias("len"))
     several = contents.groupBy("mini").agg(F.count(F.lit(1)).alias("contents"), F.min("copies").alias("fewest"))
-    several = several.where("contents > 1" if keep_first else "contents > 1 and fewest = 1").select("mini")
-    wanted = contents.join(several, "mini").groupBy("first.key").agg(F.collect_list(F.struct("mini", "copies", "first.at", "first.n")).alias("wanted"))
-    items = (
-        rows.join(wanted, "key")
-        .select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), "key", "text", "wanted")
-        .mapInArrow(_cut_out(unit, length), "mini long, copies long, doc_id long, key long, at long, n int, symbols binary")
-    )
-    solved = (
-        items.repartition("mini").sortWithinPartitions("mini", "doc_id", "key", "at").mapInArrow(_resolve(unit, length, keep_first), "key long, at long, len long")
-    )
+    several = several.where("contents > 1" if keep_first else "contents > 1 and fewest = 1").select("mini", (F.col("contents") > most).alias("many"))
+
+    def items(which: str) -> DataFrame:
+        chosen = contents.join(several.where(which).select("mini"), "mini")
+        wanted = chosen.groupBy("first.key").agg(F.collect_list(F.struct("mini", "copies", "first.at", "first.n")).alias("wanted"))
+        # the same columns of rows as in what the caller joins to spans, so that texts are shuffled once for all
+        asked = rows.join(wanted, "key").select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), *(c for c in rows.columns if c != "doc_id"), "wanted")
+        return asked.mapInArrow(_cut_out(unit, length), "mini long, copies long, doc_id long, key long, at long, n int, symbols binary")
+
+    few = items("not many").repartition("mini").sortWithinPartitions("mini", "doc_id", "key", "at")
+    solved = few.mapInArrow(_resolve(unit, length, keep_first), "key long, at long, len long")
+    each = items("many").mapInArrow(_windows(unit, length), "mini long, window long, copies long, doc_id long, key long, at long")
+    first = F.min(F.struct("doc_id", "key", "at")).alias("first")
+    again = each.groupBy("mini", "window").agg(F.count(F.lit(1)).alias("places"), first).where("places > 1")
+    again = each.join(again, ["mini", "window"]).where("key <> first.key or at <> first.at" if keep_first else "copies = 1")
+    solved = solved.unionByName(again.select("key", "at", F.lit(length).cast("long").alias("len")))
     return rows, whole.unionByName(solved)
 
 

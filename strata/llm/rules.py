@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, text_or_empty
+from .common import SPACE_CLASS, discard, materialize, text_or_empty
 
 MIN_WORDS = 20
 #: Largest share, in percent, of words in repeated windows.
@@ -162,7 +162,9 @@ def keep(docs: DataFrame, threshold: float = 0.5, prefix: str = "__rule_") -> Da
     """The rows of docs that judge() keeps, with all their columns."""
     text, fence = f"{prefix}text", f"{prefix}fence"
     texts = _statistics(docs.select(text_or_empty().alias(text)), text, prefix).drop(text)
-    prior, weights = _fit(materialize(_with_votes(texts, prefix), "rule-votes"), prefix)
+    votes = materialize(_with_votes(texts, prefix), "rule-votes")
+    prior, weights = _fit(votes, prefix)
+    discard(votes)
     # a column that isn't deterministic, so that the filter isn't pushed below it and the statistics written out in it again and again
     counted = _statistics(docs.withColumn(text, text_or_empty()), text, prefix).withColumn(fence, F.monotonically_increasing_id())
     voted = _with_votes(counted, prefix).where(~_base_failed(prefix) & (_posterior(prefix, prior, weights) >= threshold) & (F.col(fence) >= 0))

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import merged_spans, repeated_spans, rows_with_spans
+from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 400
 GRAM = 24
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (begin, end), kept (binary) and kept_sha256 of every row.
 
     With keep_first, later copies go and the first stays, in order of doc_id and place; else all copies go.
@@ -29,7 +29,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     character, so it is binary. A null text counts as empty. Rows of equal id and text are copies of each other and get
     equal results: all are treated as the first of them is. An empty table gives no rows. Other columns are ignored.
     """
-    rows, spans = repeated_spans(docs, "byte", length, GRAM, keep_first)
+    rows, spans = repeated_spans(docs, "byte", length, GRAM, keep_first, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from strata.llm import crf, rules
 
+from .helpers import awkward, documents
 from .test_minhash import brute as classes_of
 from .test_repeats import brute as covered_by
 
@@ -60,3 +61,21 @@ def test_run_and_registration(spark):
     out = corpus_pipeline.run(spark, D)
     fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert fill.where("n > 2048").count() == 0 and out.count() > 100
+
+
+def test_stages_stand_awkward_rows(spark):
+    texts = awkward()
+    docs = documents(spark, texts + ["one more", None, None], ids=[*range(len(texts)), None, None, 5])
+    given = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, docs, D), stage(spark, documents(spark, []), D)
+        assert none.count() == 0, name
+        rows = out.collect()
+        if i == 4:
+            assert len({r["doc_id"] for r in rows}) == len({d for d, _ in given})
+            continue
+        assert out.columns == none.columns == docs.columns
+        if i == 3:
+            assert len(rows) == docs.count()
+        else:
+            assert {(r["doc_id"], r["text"]) for r in rows} <= given

@@ -27,8 +27,8 @@ def brute(parts: list, length: int, keep_first: bool):
     return out
 
 
-def check_words(spark, texts, length, keep_first=False):
-    got = {r["doc_id"]: r for r in debruijn.remove_repeated_words(documents(spark, texts), length, keep_first).collect()}
+def check_words(spark, texts, length, keep_first=False, most=repeats.MOST):
+    got = {r["doc_id"]: r for r in debruijn.remove_repeated_words(documents(spark, texts), length, keep_first, most).collect()}
     assert len(got) == len(texts)
     words = [(t or "").encode().split() for t in texts]
     for i, (w, cover) in enumerate(zip(words, brute(words, length, keep_first))):
@@ -38,8 +38,8 @@ def check_words(spark, texts, length, keep_first=False):
         assert got[i]["kept"].encode() == kept
 
 
-def check_bytes(spark, texts, length, keep_first=False):
-    got = {r["doc_id"]: r for r in suffix.remove_repeated_bytes(documents(spark, texts), length, keep_first).collect()}
+def check_bytes(spark, texts, length, keep_first=False, most=repeats.MOST):
+    got = {r["doc_id"]: r for r in suffix.remove_repeated_bytes(documents(spark, texts), length, keep_first, most).collect()}
     assert len(got) == len(texts)
     data = [(t or "").encode() for t in texts]
     for i, (d, cover) in enumerate(zip(data, brute(data, length, keep_first))):
@@ -50,15 +50,17 @@ def check_bytes(spark, texts, length, keep_first=False):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_words_against_brute_force(spark, keep_first):
-    check_words(spark, awkward(), 35, keep_first)
-    check_words(spark, awkward(3), 8, keep_first)
+@pytest.mark.parametrize("most", [2, repeats.MOST])
+def test_words_against_brute_force(spark, keep_first, most):
+    check_words(spark, awkward(), 35, keep_first, most)
+    check_words(spark, awkward(3), 8, keep_first, most)
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_bytes_against_brute_force(spark, keep_first):
+@pytest.mark.parametrize("most", [2, repeats.MOST])
+def test_bytes_against_brute_force(spark, keep_first, most):
     texts = [t if t is None or len(t) < 20_000 else t[:3000] + t[-600:] for t in awkward()]
-    check_bytes(spark, texts, 400, keep_first)
+    check_bytes(spark, texts, 400, keep_first, most)
 
 
 def test_whole_table_of_words(spark):
