@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 #: Words of the dictionary at most, and bytes of one of them; words seen less often in ROWS rows aren't candidates.
-WORDS, WORD_BYTES, SEEN = 120_000, 64, 2
+WORDS, WORD_BYTES, SEEN = 350_000, 64, 2
+#: Other words whose ids a process keeps for a while.
+MEMO = 60_000
 #: Rows that a task handles at once.
 ROWS = 2000
 _SLOTS = 1 << 14
@@ -94,15 +97,17 @@ def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[word]]
     parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     if len(word) <= 48:
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        none, get = 1 << 31, ranks.get
+        pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -157,14 +162,22 @@ def dictionary(texts: DataFrame, pattern: str, ranks: dict[bytes, int], words: i
 
 
 class _Words(dict):
-    """Ids by word; those of other words are folded when asked for and not kept."""
+    """Ids by word; those of other words are folded when asked for, and the latest of them are kept, MEMO at most."""
 
     def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
         super().__init__(known)
-        self.ranks = ranks
+        self.ranks, self.memo = ranks, {}
 
     def __missing__(self, word: str) -> bytes:
-        return np.array(fold_bytes(word.encode(), self.ranks), "<u4").tobytes()
+        found = self.memo.get(word)
+        if found is None:
+            ids = fold_bytes(word.encode(), self.ranks)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= WORD_BYTES:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = found
+        return found
 
 
 _state: dict = {}
