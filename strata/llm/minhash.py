@@ -344,7 +344,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     # one row of each node that shares a bucket: which row has its text, its size and its signature
     nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
     nodes = materialize(nodes.agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("sign").alias("sign")), "nodes")
-    texts = materialize(source.join(nodes.select("node", "key"), ["node", "key"], "left_semi").select("node", "text"), "texts")
+    # a merge at every size: a small corpus then shows the costs that a large one has, whose nodes can't be broadcast
+    wanted = nodes.select("node", "key").hint("merge")
+    texts = materialize(source.join(wanted, ["node", "key"], "left_semi").select("node", "text"), "texts")
     about = nodes.select("node", "size", "sign")
     pivots = about.select(F.col("node").alias("pivot"), F.col("size").alias("other_size"), F.col("sign").alias("other_sign"))
     near = _plausible(bands * rows, least)
