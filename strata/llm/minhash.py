@@ -229,11 +229,11 @@ def _plausible(m: int, least: tuple[int, int]) -> Column:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Buckets of three nodes and more that hold several components; with what tells their sets of nodes apart."""
+    """Buckets that hold several components, one of those with the same nodes; but for a pivot and one other node, which are a star's pair."""
     found = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes")
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("pivot").alias("pivot")
     )
-    return found.where("r <> s and n > 2").drop("r", "s")
+    return found.where("r <> s and (n > 2 or a <> pivot)").groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
 
 
 def similar_pairs(bags: list[tuple[np.ndarray, np.ndarray]], num: int, den: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -358,11 +358,10 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     roots = components(found)
 
     rest = materialize(_across(stars.join(first, ["node", "pivot"], "left_anti"), roots), "pairs")
-    now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    # a bucket of two is one star; of buckets with the same nodes one is enough
-    open_ = _open(now).groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
-    opened = materialize(now.join(open_.select("bucket"), "bucket"), "open")
+    now = members.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root"))
+    opened = materialize(now.join(_open(now).select("bucket"), "bucket"), "open")
     able = _able(opened.select("node").distinct().join(about, "node").select("node", "size"), texts, least)
+    # nodes that leave can be pivots: two that stay needn't be a star's pair
     rows_ = able_rows = materialize(opened.join(able, "node", "left_semi"), "able")
     open_ = _open(rows_).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
     rows_ = rows_.join(open_.select("bucket", "blocks"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))

@@ -96,3 +96,20 @@ def test_components(spark, together):
             root[a] = root[b] = m
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: root[x] for x in linked}
+
+
+def test_near_copies_of_a_template_among_its_variants(spark):
+    """No variant is similar enough to another text, and one is the pivot of every bucket of the two that are."""
+    rng = random.Random(21)
+    template = passage(rng, 200).split()
+    texts = []
+    for i in range(300):
+        words = template[:]
+        for k in range(11):
+            words[18 * k + rng.randrange(8)] = f"v{i}x{k}"
+        texts.append(" ".join(words))
+    near = template[:]
+    near[100] = "near"
+    texts += [" ".join(template), " ".join(near)]
+    assert brute(texts) == [*range(301), 300]
+    check(spark, texts)
