@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import byte_ranks, encoder
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -56,15 +58,15 @@ def unescape_role(role: str) -> str:
 
 
 def turn_tokens(text: str) -> int:
-    """A turn's cost: a token for each four bytes begun, and four for the template."""
+    """A turn's cost by estimate, without a tokenizer: a token for each four bytes begun, and four for the template."""
     return -(-len(text.encode()) // 4) + 4
 
 
 class _Conversation:
     """The windows of one conversation whose turns come one by one. It holds a window and a history, no more."""
 
-    def __init__(self, conv_id, budget: int, history: int):
-        self.id, self.budget, self.history = conv_id, budget, history
+    def __init__(self, conv_id, budget: int, history: int, cost_of: Callable[[str, str], int]):
+        self.id, self.budget, self.history, self.cost_of = conv_id, budget, history, cost_of
         self.window, self.system, self.system_cost, self.first = 0, None, 0, True
         self.past: list[tuple[str, str, int]] = []  # candidates for the next window's history
         self.shown: list[tuple[str, str, int]] = []  # history of this window
@@ -73,7 +75,7 @@ class _Conversation:
 
     def add(self, role: str, text: str) -> dict | None:
         """Takes a turn; gives the window before it, if that is full."""
-        cost = turn_tokens(text)
+        cost = self.cost_of(role, text)
         room = self.budget - (self.system_cost if self.window else 0) - sum(c for *_, c in self.shown)
         done = self.close() if self.new and self.sum + cost - self.cut > room else None
         if self.first and role == "system":
@@ -112,9 +114,11 @@ def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+def windows(turns: DataFrame, budget: int = 512, history: int = 128, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
     """conv_id, window, text, n_repeated and n_new (turns), tokens, loss (begin and end in code points of text, in order).
 
+    With a tokenizer file of byte-level BPE and its pattern, a turn costs the tokens of all that is written for it, with control strings as ordinary
+    text; where the pattern splits between a line's end and "<", as GPT-2's does, they add up to those of a window's text. Without, turn_tokens() estimates.
     Turns are ordered by turn, role and text; nulls come first. A null text or role is empty, rows of a null conv_id are one conversation.
     A turn that alone passes the budget is a window's only new turn and is never cut. Repeated rows are turns of their own.
     An empty table gives no rows. Other columns are ignored. A conversation is sorted and read as a stream: what a
@@ -122,15 +126,23 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFram
     """
     if not 0 <= history < budget:
         raise ValueError("history must leave room in the budget")
+    if (tokenizer is None) != (pattern is None):
+        raise ValueError("a tokenizer needs its pattern")
+    ranks = None if tokenizer is None else turns.sparkSession.sparkContext.broadcast(byte_ranks(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None if ranks is None else encoder(ranks.value, pattern).encode_to_numpy
+
+        def cost_of(role: str, text: str) -> int:
+            return turn_tokens(text) if encode is None else len(encode(f"{START}{escape_role(role)}\n{escape(text)}{END}", disallowed_special=()))
+
         now, out = None, []
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if now is None or now.id != conv:
                     if now:
                         out.append(now.close())
-                    now = _Conversation(conv, budget, history)
+                    now = _Conversation(conv, budget, history, cost_of)
                 done = now.add(role, text)
                 if done:
                     out.append(done)

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
 from strata.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, window int, loss string"
@@ -81,3 +84,20 @@ def test_escape_is_reversible():
         assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
         role = chat.escape_role(s)
         assert chat.unescape_role(role) == s and "\n" not in role and "<|" not in role
+
+
+def test_budget_holds_in_the_tokens_of_a_tokenizer(spark):
+    rows, path = turns(3), P.path("byte_bpe_50k.json")
+    # no special tokens: the control strings are ordinary text, as in windows()
+    other = Tokenizer.from_file(path)
+
+    def count(text):
+        return len(other.encode(text, add_special_tokens=False).ids)
+
+    got = chat.windows(spark.createDataFrame(rows, SCHEMA), 200, 60, path, P.PATTERN).collect()
+    assert sum(r["n_new"] for r in got) == len(rows)
+    for r in got:
+        assert r["tokens"] == count(r["text"])
+        assert r["tokens"] <= 200 or r["n_new"] == 1
+    # the estimate doesn't hold it
+    assert any(r["n_new"] > 1 and count(r["text"]) > 200 for r in chat.windows(spark.createDataFrame(rows, SCHEMA), 200, 60).collect())
