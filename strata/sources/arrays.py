@@ -76,12 +76,13 @@ def write_array(writer: Writer, kind: str, variant: str, df: DataFrame) -> Array
     return writer.batches(kind, variant, batches())
 
 
-def array_problems(df: DataFrame, use: Use) -> list[Problem]:
-    """What is wrong in an array, as one message for each rule: summaries made by aggregates, of constant size."""
+def array_problems(df: DataFrame, use: Use, limit: int | None = None) -> list[Problem]:
+    """What is wrong in an array, as one message for each rule: summaries made by aggregates, of constant size. Sub-blocks invalid
+    for their mode have a message each, up to the limit (None: all), and then one that stands for all others."""
     kind, bounds, out = use.array.kind, use.bounds, []
 
-    def add(reason: str) -> None:
-        out.append(Problem(use.type, use.field, f"array contains invalid data: {reason}", use.name))
+    def add(reason: str, count: int = 1) -> None:
+        out.append(Problem(use.type, use.field, f"array contains invalid data: {reason}", use.name, count=count))
 
     if kind == "Scalar" and bounds.get("above_zero"):
         least = df.agg(V.minimum(F.col("scalar")).alias("v")).first()["v"]
@@ -97,11 +98,11 @@ def array_problems(df: DataFrame, use: Use) -> list[Problem]:
         if not rows.where("value < before").isEmpty():
             add("discrete colormap boundary decreases")
     elif kind in ("RegularSubblock", "FreeformSubblock") and use.array.item_count:
-        _subblocks(df, kind, bounds, add)
+        _subblocks(df, kind, bounds, add, limit)
     return out
 
 
-def _subblocks(df: DataFrame, kind: str, bounds: dict, add) -> None:
+def _subblocks(df: DataFrame, kind: str, bounds: dict, add, limit: int | None) -> None:
     blocks = bounds["blocks"]
     tops = df.agg(*(V.first_largest(F.struct(*_PARENT), F.col(p), F.col("pos")).alias(p) for p in _PARENT)).first()
     seen = []
@@ -133,10 +134,15 @@ def _subblocks(df: DataFrame, kind: str, bounds: dict, add) -> None:
             shown.append(wrong[c])
             add(f"sub-block {_corners(wrong[c])} exceeds the maximum {list(cells)}")
     if mode:
-        # different corners only, and as many messages as the limit of problems
+        # different corners only; those beyond the limit of problems are counted
         broken = rows.where(F.col("status") != "zero_size").select(*CORNERS).distinct().where(V.mode_broken(low, high, cells, mode.lower()))
-        for r in broken.orderBy(*CORNERS).limit(100).collect():
+        ordered = broken.orderBy(*CORNERS)
+        found = (ordered if limit is None else ordered.limit(limit)).collect()
+        for r in found:
             add(f"sub-block {_corners(r)} is invalid for {mode} mode")
+        others = broken.count() - len(found) if len(found) == limit else 0
+        if others:
+            add(f"{others} more sub-blocks are invalid for {mode} mode", others)
 
 
 def _number(v) -> str:

@@ -27,6 +27,7 @@ class Problem:
     reason: str
     name: str | None = None
     warning: bool = False
+    count: int = 1  # problems that it stands for
 
     def __str__(self) -> str:
         where = self.type if self.field is None else f"{self.type}::{self.field}"
@@ -295,8 +296,8 @@ def limited(problems: list[Problem], limit: int | None) -> list[Problem]:
     if limit is None or len(problems) <= limit:
         return problems
     shown, rest = problems[:limit], problems[limit:]
-    errors = sum(not p.warning for p in rest)
-    for n, what, warning in ((errors, "errors", False), (len(rest) - errors, "warnings", True)):
+    errors = sum(p.count for p in rest if not p.warning)
+    for n, what, warning in ((errors, "errors", False), (sum(p.count for p in rest) - errors, "warnings", True)):
         if n:
             shown.append(Problem("", None, f"{n} more {what}", None, warning))
     return shown

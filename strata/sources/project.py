@@ -53,7 +53,7 @@ class ProjectWriter:
         problems, uses = check_tree(project, self.file.names, compat)
         for use in uses:
             if use.array.filename in {**self._frames, **self._rows} and _checked(use):
-                problems += array_problems(self._frame(use.array.filename), use)
+                problems += array_problems(self._frame(use.array.filename), use, Limits().validation)
         return problems
 
     def finish(self, project: dict) -> list[Problem]:
@@ -120,5 +120,5 @@ class ProjectReader:
         out: list[Problem] = []
         for use in self._uses:
             if _checked(use):
-                out += array_problems(read_array(self.spark, self.file, use.array), use)
+                out += array_problems(read_array(self.spark, self.file, use.array), use, self.file.limits.validation)
         return limited(out, self.file.limits.validation)

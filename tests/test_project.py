@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.functions import color as K
 from strata.operators import lookup as J
 from strata.sources import catalog, container, images, kinds
-from strata.sources.arrays import as_kind, boundary_values, with_vectors3
+from strata.sources.arrays import array_problems, as_kind, boundary_values, with_vectors3
 from strata.sources.project import ProjectReader, ProjectWriter
 
 NAN, INF = float("nan"), float("inf")
@@ -252,6 +252,17 @@ def test_limits(spark, written):
     assert [str(p) for p in catalog.limited(problems, 3)][3:] == ["Error: '' 3 more errors", "Warning: '' 3 more warnings"]
 
 
+@pytest.mark.parametrize("limit", [None, 0, 3, 100, 120, 200])
+def test_sub_blocks_invalid_for_their_mode_are_shown_to_the_limit_and_counted(spark, limit):
+    rows = [(i, 0, 0, 0, i, 0, 0, i + 2, 1, 1) for i in range(120)]
+    df = spark.createDataFrame(rows, ["pos", *kinds.KINDS["RegularSubblock"]["U32U32"].names])
+    use = catalog.Use(kinds.Array("RegularSubblock", "x", len(rows)), "T", "f", None, {"blocks": [1, 1, 1], "cells": [128, 128, 128], "mode": "Full"})
+    got = [str(p) for p in catalog.limited(array_problems(df, use, limit), limit)]
+    shown = 120 if limit is None else min(limit, 120)
+    assert sum("is invalid for Full mode" in p for p in got) == shown
+    assert got[shown:] == ([f"Error: '' {120 - shown} more errors"] if shown < 120 else [])
+
+
 def test_variants_are_exact(spark):
     import io
 
