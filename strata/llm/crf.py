@@ -36,10 +36,18 @@ _CLASSES = {
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?:;\"'", 0xBB, 0x9D]] = True
 N_FEATURES = 21
+#: The feature that a line occurs again in its text.
+REPEATED = 10
 
 
-def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with a word of some texts: the text of each, its length in bytes, its features."""
+def _repeated(lines: np.ndarray) -> np.ndarray:
+    """Whether a hash of a line occurs again."""
+    _, same, often = np.unique(lines, return_inverse=True, return_counts=True)
+    return often[same] > 1
+
+
+def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with a word of some texts: the text of each, its length in bytes, its features, a hash of its text and content."""
     n = len(data)
     breaks = np.flatnonzero(data == 10)
     begin = np.union1d(cuts[:-1][cuts[:-1] < n], breaks + 1)
@@ -47,7 +55,7 @@ def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
     end = np.append(begin[1:], n)
     at, stop = word_places(data, cuts)
     if not len(begin) or not len(at):
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_FEATURES))
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_FEATURES)), np.zeros(0, U)
     line = np.searchsorted(begin, at, "right") - 1
     words = np.bincount(line, minlength=len(begin))
     full = words > 0
@@ -79,7 +87,8 @@ def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
     ended = _ENDS[data[stop[np.maximum(last, 0)] - 1]]
     text = np.searchsorted(cuts, begin, "right") - 1
     own = mix(hashes(sums, begin, np.maximum(begin, stop[np.maximum(last, 0)])) ^ mix(text.astype(U) + U(1)))
-    _, same, often = np.unique(np.where(full, own, np.arange(len(own), dtype=U)), return_inverse=True, return_counts=True)
+    repeated = np.zeros(len(begin), bool)
+    repeated[full] = _repeated(own[full])
     w, c = np.maximum(1, words), np.maximum(1, length)
     stutter, symbols, pipes = per_line(twice) / w, counts["symbol"] / w, counts["pipe"] / w
     x = np.column_stack(
@@ -94,7 +103,7 @@ def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
             np.minimum(1, counts["bang"] / w),
             np.minimum(1, counts["point"] / w),
             stutter,
-            often[same] > 1,
+            repeated,
             ended,
             per_line(stop - at > 24) / w,
             per_line(stop - at <= 2) / w,
@@ -107,7 +116,7 @@ def _block_features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
             np.ones(len(begin)),
         ]
     ).astype(np.float64)
-    return text[full], length[full], x[full]
+    return text[full], length[full], x[full], own[full]
 
 
 @dataclass
@@ -122,7 +131,8 @@ class Lines:
 
 
 def features(texts: pa.Array) -> Iterator[Lines]:
-    """Lines of successive texts, a block at a time. A line longer than a block of BLOCK bytes counts as several."""
+    """Lines of successive texts, a block at a time; whether a line is repeated is told over the whole text. A line longer than a block of
+    BLOCK bytes counts as several, cut between words; only a word as long as a block is cut itself."""
     data, cuts = buffers(texts)
     i = 0
     while i < len(texts):
@@ -132,13 +142,17 @@ def features(texts: pa.Array) -> Iterator[Lines]:
             hi = cuts[j]
             if hi - lo > 2 * BLOCK:  # one long text: cut it after a line
                 breaks = np.flatnonzero(data[lo : lo + BLOCK] == 10)
+                if not len(breaks):
+                    breaks = np.flatnonzero(np.isin(data[lo : lo + BLOCK], [9, 11, 12, 13, 32]))
                 hi = lo + (int(breaks[-1]) + 1 if len(breaks) else BLOCK)
             inner = cuts[i : j + 1] - lo if hi == cuts[j] and lo == cuts[i] else np.array([0, hi - lo])
             parts.append(_block_features(data[lo:hi], inner))
             lo = hi
             if hi == cuts[j]:
                 break
-        text, length, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        text, length, x, own = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if len(parts) > 1:
+            x[:, REPEATED] = _repeated(own)
         count = np.bincount(text, minlength=j - i)
         if (count == 0).any():
             none = np.flatnonzero(count == 0)

@@ -81,3 +81,19 @@ def test_awkward_rows_and_labels(spark):
     assert {(r["doc_id"], r["score"]) for r in crf.quality(docs, flipped).collect()} == {(r["doc_id"], r["score"]) for r in rows}
     kept = crf.keep_good(docs, labels)
     assert kept.columns == docs.columns
+
+
+def test_lines_repeat_over_the_pieces_of_a_long_text():
+    once = [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(60_000)]
+    lines = once[:30_000] + ["a line that comes again"] + once[30_000:] + ["a line that comes again"]
+    text = "\n".join(lines)
+    assert len(text) > 4 * crf.BLOCK
+    (got,) = crf.features(pa.array([text]))
+    assert np.flatnonzero(got.x[:, crf.REPEATED]).tolist() == [30_000, 60_001]
+
+
+def test_a_long_line_is_cut_between_words():
+    word = "abcdefg"
+    (got,) = crf.features(pa.array([" ".join([word] * 400_000)]))
+    assert len(got.length) > 1
+    assert np.rint(np.expm1(4 * got.x[:, 0])).sum() == 400_000
