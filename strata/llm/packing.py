@@ -3,7 +3,8 @@
 Items are dealt to partitions of bounded size; each is packed best-fit decreasing. Dual feasible functions (Fekete
 and Schepers) give a lower bound on the bins that any packing of its items needs. A partition whose count meets its bound is certified and
 done. The others keep their full bins and exchange the rest: the items of their bins with a gap are pooled, dealt anew to half as
-many partitions at most, and packed again, until all are certified or one bounded partition is left.
+many partitions at most, and packed again, until all are certified or one partition is left, or until half as many would hold over MOST
+items each: then several uncertified partitions can be left, with their gaps. Every item is placed in any case.
 """
 
 from __future__ import annotations
