@@ -1,6 +1,6 @@
-"""`spark.read.format("strata")`: the tables of a container's index, and its arrays, by path.
+"""`spark.read.format("strata")`: a container's members, and its arrays of all kinds, by path. Tables of the index: ProjectReader.tables().
 
-Options: path; table ("projects", "elements", "attributes", "arrays", "members"); or array (a member's name) and kind. Arrays are split by row group.
+Options: path; table ("members"); or array (a member's name) and kind. Arrays are split by row group.
 """
 
 from __future__ import annotations
@@ -10,11 +10,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from .container import Reader
-from .kinds import KINDS, Array
+from .kinds import KINDS, Array, variant_of
+
+_WIDE = {pa.uint32(): pa.int64(), pa.uint8(): pa.int32(), pa.float32(): pa.float64()}
+
+
+def _wide(t: pa.DataType) -> pa.DataType:
+    return pa.struct([pa.field(f.name, _wide(f.type)) for f in t]) if pa.types.is_struct(t) else _WIDE.get(t, t)
+
 
-_DDL = {"Scalar": "scalar double", "Vertex": "x double, y double, z double", "Segment": "a long, b long", "Triangle": "a long, b long, c long", "Name": "name string", "Gradient": "r int, g int, b int, a int", "Texcoord": "u double, v double", "Index": "index long", "Text": "text string", "Boolean": "bool boolean"}
 _MEMBERS = "name string, offset long, size long"
 
 
@@ -23,9 +31,11 @@ class ContainerSource(DataSource):
     def name(cls) -> str:
         return "strata"
 
-    def schema(self) -> str:
+    def schema(self) -> str | StructType:
         if "array" in self.options:
-            return f"pos long, {_DDL[self.options['kind']]}"
+            kind = self.options["kind"]
+            columns = KINDS[kind][variant_of(kind, _Array(self.options)._open())]
+            return from_arrow_schema(pa.schema([pa.field("pos", pa.int64()), *(pa.field(f.name, _wide(f.type)) for f in columns)]))
         if self.options.get("table", "members") == "members":
             return _MEMBERS
         raise ValueError("other tables of the index: ProjectReader.tables()")
@@ -58,9 +68,8 @@ class _Array(DataSourceReader):
             return
         file = self._open()
         at = sum(file.metadata.row_group(i).num_rows for i in range(partition.value))
-        wide = {pa.uint32(): pa.int64(), pa.uint8(): pa.int32(), pa.float32(): pa.float64()}
         for batch in file.iter_batches(row_groups=[partition.value]):
-            columns = [c.cast(wide.get(c.type, c.type)) for c in batch.columns]
+            columns = [c.cast(_wide(c.type)) for c in batch.columns]
             names = [f.name for f in next(iter(KINDS[self.kind].values()))]
             yield pa.RecordBatch.from_arrays([pa.array(range(at, at + batch.num_rows), pa.int64()), *columns], names=["pos", *names])
             at += batch.num_rows
