@@ -34,20 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it again: what follows doesn't depend on
-    executors that made it, and a frame used several times is computed once."""
+    executors that made it, and a frame used several times is computed once. A table that a result still reads
+    can't be deleted by the operator; every table goes when the driver's JVM ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/strata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
+    folder, at = _folder(out)
+    folder.deleteOnExit(at)
     return out
 
 
+def _folder(table: DataFrame):
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table._table_path)
+    return path.getFileSystem(session._jsc.hadoopConfiguration()), path
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() made, once nothing that is still to run reads them."""
     for table in tables:
-        session = table.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(table._table_path)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        folder, at = _folder(table)
+        folder.delete(at, True)
+        folder.cancelDeleteOnExit(at)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -202,11 +202,11 @@ def runs(symbols: np.ndarray, cuts: np.ndarray, length: int, gram: int, limit: i
 
 
 def _find_runs(unit: str, length: int, gram: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("mini", pa.int64()), ("content", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("mini", pa.int64()), ("content", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
             out = []
             for first, symbols, cuts, base in blocks(batch.column("text"), unit):
                 got = runs(symbols, cuts, length, gram, BLOCK if len(cuts) == 2 and (base or len(symbols) > BLOCK) else None)
@@ -220,7 +220,7 @@ def _find_runs(unit: str, length: int, gram: int) -> Callable:
 
 
 def _cut_out(unit: str, length: int) -> Callable:
-    schema = pa.schema([("mini", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("symbols", pa.binary())])
+    schema = pa.schema([("mini", pa.int64()), ("copies", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("symbols", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +232,7 @@ def _cut_out(unit: str, length: int) -> Callable:
                     whole = data if unit == "byte" else _long_word_symbols(data)
                     for x in part.column("wanted")[i].as_py():
                         content = whole[x["at"] : x["at"] + x["n"] + length - 1].tobytes()
-                        out.append((x["mini"], x["copies"], part.column("doc_id")[i].as_py(), part.column("key")[i].as_py(), x["at"], x["n"], content))
+                        out.append((x["mini"], x["copies"], part.column("id")[i].as_py(), part.column("key")[i].as_py(), x["at"], x["n"], content))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -279,7 +279,7 @@ MOST = 1000
 
 def _windows(unit: str, length: int) -> Callable:
     """Every window of the runs, by its hash: for minimisers with so many contents that one task can't hold them."""
-    schema = pa.schema([("mini", pa.int64()), ("window", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("mini", pa.int64()), ("window", pa.int64()), ("copies", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
@@ -289,21 +289,25 @@ def _windows(unit: str, length: int) -> Callable:
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             places = np.repeat(cuts[:-1], n) + step
             window = mix(hashes(prefix_sums(data), places, places + length))
-            whole = {c: np.repeat(part.column(c).to_numpy(), n) for c in ("mini", "copies", "doc_id", "key", "at")}
+            whole = {c: np.repeat(part.column(c).to_numpy(), n) for c in ("mini", "copies", "id", "key", "at")}
             whole["at"] = whole["at"] + step
             yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64) if c == "window" else whole[c]) for c in schema.names], schema=schema)
 
     return windows
 
 
-def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 20) -> Callable:
+#: Bytes of symbols that are compared at once, but for a minimiser that has more. Arrays made on the way are about a hundred times as large.
+TOGETHER = 1 << 18
+
+
+def _resolve(unit: str, length: int, keep_first: bool, together: int = TOGETHER) -> Callable:
     """Decides each window of runs that share a minimiser with other contents. Rows come sorted by minimiser and
     by where they first occur."""
-    schema = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("len", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("len", pa.int64())])
     kind = np.uint8 if unit == "byte" else U
 
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(rows).combine_chunks()
+    def solve(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
         data, cuts = buffers(rows.column("symbols").chunk(0))
         data, cuts = (data, cuts) if unit == "byte" else (np.frombuffer(data.tobytes(), U), cuts // 8)
         n = rows.column("n").to_numpy()
@@ -314,7 +318,8 @@ def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 20) ->
         _, same, often = np.unique(window, return_inverse=True, return_counts=True)
         maybe = often[same] > 1
         if not maybe.any():
-            return pa.RecordBatch.from_pylist([], schema=schema)
+            return None
+        del window, same, often
         places, item = places[maybe], item[maybe]
         wanted = np.unique(item)
         size = np.diff(cuts)
@@ -331,67 +336,76 @@ def _resolve(unit: str, length: int, keep_first: bool, least: int = 1 << 20) ->
         at = found[first]
         which = item[at]
         where = rows.column("at").to_numpy()[which] + places[at] - cuts[which]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.column("key").to_numpy()[which], where, (count + length - 1).astype(np.int64))], schema=schema)
+        names = [rows.column(c).to_numpy()[which] for c in ("id", "key")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, where, (count + length - 1).astype(np.int64))], schema=schema)
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of whole minimisers: of several while they have at most `together` bytes, else of one."""
+        held, size = [], 0  # rows to be given; the last minimiser's can go on in the next batch
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            size += batch.nbytes
             minis = batch.column("mini").to_numpy()
-            if size >= least and minis[0] != minis[-1]:  # all rows but those of the last minimiser
-                cut = int(np.flatnonzero(minis != minis[-1])[-1]) + 1
-                held[-1] = batch.slice(0, cut)
-                yield solve(held)
-                held, size = [batch.slice(cut)], batch.slice(cut).nbytes
+            _, cuts = buffers(batch.column("symbols"))
+            begins = np.append(np.flatnonzero(np.append(True, minis[1:] != minis[:-1])), batch.num_rows)
+            lo = 0  # first row that isn't held yet
+            for a, b in zip(begins, begins[1:]):
+                bytes_ = int(cuts[b] - cuts[a])
+                if minis[a] != last and size and size + bytes_ > together:
+                    if a > lo:
+                        held.append(batch.slice(lo, a - lo))
+                    yield pa.Table.from_batches(held)
+                    held, size, lo = [], 0, a
+                size, last = size + bytes_, minis[a]
+            held.append(batch.slice(lo))
         if held:
-            yield solve(held)
+            yield pa.Table.from_batches(held)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (x for x in map(solve, groups(batches)) if x is not None)
 
     return resolve
 
 
 def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool = False, most: int = MOST, whole_rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans). rows: doc_id, key, text of docs, null texts as empty, and with whole_rows the row but its text in a struct, rest. spans: key, at, len of symbols covered
+    """(rows, spans). rows: doc_id, id, key, text of docs, null texts as empty, and with whole_rows the row but its text in a struct, rest. spans: id, key, at, len of symbols covered
     by windows that also begin elsewhere, or with keep_first by windows that begin earlier, in order of doc_id
-    and place. Spans can overlap. Rows with equal key are equal in id and text and share their spans."""
+    and place. Spans can overlap. id is doc_id, or the least number for null; rows with equal id and key are equal in id and text and share their spans.
+
+    Tables that are joined to a hot minimiser's or content's rows are written first: Spark then splits such a key's rows over tasks."""
     if length > OVERLAP + 1 or gram > length:
         raise ValueError(f"windows of at most {OVERLAP + 1} symbols, grams of at most a window")
     text = text_or_empty()
     rest = [F.struct(F.col("text").isNull().alias("__no_text"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")] if whole_rows else []
-    rows = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), text.alias("text"), *rest)
-    found = materialize(
-        rows.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), "key", "text").mapInArrow(
-            _find_runs(unit, length, gram), "doc_id long, key long, at long, n int, mini long, content long"
-        ),
-        "runs",
-    )
-    again = found.groupBy("mini").count().where("count > 1").select("mini")
-    runs_, found = found, materialize(found.join(again, "mini", "left_semi"), "runs-again")
-    discard(runs_)
-    contents = found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key", "at", "n")).alias("first"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"), row_key(F.col("doc_id"), text).alias("key"), text.alias("text"), *rest)
+    runs_ = materialize(rows.select("id", "key", "text").mapInArrow(_find_runs(unit, length, gram), "id long, key long, at long, n int, mini long, content long"), "runs")
+    again = materialize(runs_.groupBy("mini").count().where("count > 1").select("mini"), "minis")
+    found = materialize(runs_.join(again, "mini", "left_semi"), "runs-again")
+    discard(runs_, again)
+    contents = materialize(found.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "at", "n")).alias("first")), "contents")
     whole = found.join(contents.where("copies > 1"), ["mini", "content"])
     if keep_first:
-        whole = whole.where("key <> first.key or at <> first.at")
-    whole = whole.select("key", "at", (F.col("n") + length - 1).cast("long").alias("len"))
+        whole = whole.where("id <> first.id or key <> first.key or at <> first.at")
+    whole = whole.select("id", "key", "at", (F.col("n") + length - 1).cast("long").alias("len"))
     several = contents.groupBy("mini").agg(F.count(F.lit(1)).alias("contents"), F.min("copies").alias("fewest"))
     several = several.where("contents > 1" if keep_first else "contents > 1 and fewest = 1").select("mini", (F.col("contents") > most).alias("many"))
+    several = materialize(several, "several")
 
     def items(which: str) -> DataFrame:
-        chosen = contents.join(several.where(which).select("mini"), "mini")
-        wanted = chosen.groupBy("first.key").agg(F.collect_list(F.struct("mini", "copies", "first.at", "first.n")).alias("wanted"))
+        chosen = contents.join(several.where(which).select("mini"), "mini", "left_semi")
+        wanted = chosen.groupBy("first.id", "first.key").agg(F.collect_list(F.struct("mini", "copies", "first.at", "first.n")).alias("wanted"))
         # the same columns of rows as in what the caller joins to spans, so that texts are shuffled once for all
-        asked = rows.join(wanted, "key").select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), *(c for c in rows.columns if c != "doc_id"), "wanted")
-        return asked.mapInArrow(_cut_out(unit, length), "mini long, copies long, doc_id long, key long, at long, n int, symbols binary")
+        asked = rows.join(wanted, ["id", "key"]).select(*rows.columns, "wanted")
+        return asked.mapInArrow(_cut_out(unit, length), "mini long, copies long, id long, key long, at long, n int, symbols binary")
 
-    few = items("not many").repartition("mini").sortWithinPartitions("mini", "doc_id", "key", "at")
-    solved = few.mapInArrow(_resolve(unit, length, keep_first), "key long, at long, len long")
-    each = items("many").mapInArrow(_windows(unit, length), "mini long, window long, copies long, doc_id long, key long, at long")
-    first = F.min(F.struct("doc_id", "key", "at")).alias("first")
+    few = items("not many").repartition("mini").sortWithinPartitions("mini", "id", "key", "at")
+    solved = few.mapInArrow(_resolve(unit, length, keep_first), "id long, key long, at long, len long")
+    each = items("many").mapInArrow(_windows(unit, length), "mini long, window long, copies long, id long, key long, at long")
+    first = F.min(F.struct("id", "key", "at")).alias("first")
     again = each.groupBy("mini", "window").agg(F.count(F.lit(1)).alias("places"), first).where("places > 1")
-    again = each.join(again, ["mini", "window"]).where("key <> first.key or at <> first.at" if keep_first else "copies = 1")
-    solved = solved.unionByName(again.select("key", "at", F.lit(length).cast("long").alias("len")))
+    again = each.join(again, ["mini", "window"]).where("id <> first.id or key <> first.key or at <> first.at" if keep_first else "copies = 1")
+    solved = solved.unionByName(again.select("id", "key", "at", F.lit(length).cast("long").alias("len")))
     return rows, whole.unionByName(solved)
 
 
@@ -408,5 +422,5 @@ def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
 
 def rows_with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows and a column spans, null where there are none."""
-    by_row = spans.groupBy("key").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
-    return rows.join(by_row, "key", "left")
+    by_row = spans.groupBy("id", "key").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
+    return rows.join(by_row, ["id", "key"], "left")

@@ -109,3 +109,26 @@ def test_ranks_are_suffix_order():
         previous, following = repeats.factors(rank, np.arange(len(keys)))
         assert list(previous) == [k in keys[:i] for i, k in enumerate(keys)]
         assert list(following) == [k in keys[i + 1 :] for i, k in enumerate(keys)]
+
+
+def test_minimisers_are_solved_together_or_alone():
+    """However rows come in batches and however many minimisers are compared at once, the spans are the same."""
+    rng = np.random.default_rng(3)
+    shared = [rng.integers(0, 256, 90, dtype=np.uint8) for _ in range(12)]
+    rows = []
+    for mini, core in enumerate(shared):
+        for i in range(1 + mini % 5 * 3):
+            content = np.concatenate([rng.integers(0, 256, 7 * (i % 4), dtype=np.uint8), core, rng.integers(0, 256, 5, dtype=np.uint8)])
+            rows.append((mini, 1, i, 100 + i, 1000 * mini, len(content) - 39, content.tobytes()))
+    names = ["mini", "copies", "id", "key", "at", "n", "symbols"]
+    types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+
+    def spans(together, batch):
+        parts = [rows[i : i + batch] for i in range(0, len(rows), batch)]
+        given = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), types)], names) for p in parts)
+        return sorted(tuple(r.values()) for b in repeats._resolve("byte", 40, False, together)(given) for r in b.to_pylist())
+
+    whole = spans(1 << 30, len(rows))
+    assert len(whole) >= 50 and all(r[3] >= 90 for r in whole)
+    for together, batch in ((1, 1), (1, 7), (500, 5), (500, len(rows)), (3000, 2)):
+        assert spans(together, batch) == whole
