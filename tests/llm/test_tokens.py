@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -59,7 +59,7 @@ def want_pieces(text, tokenizer):
 
 def test_packed_documents(spark):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
     rows = packing.pack_documents(documents(spark, texts()), JSON, P.PATTERN).collect()
     got, bins = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -74,7 +74,7 @@ def test_packed_documents(spark):
             at += length
         assert at <= 2048
     lengths = np.array([r["length"] for r in rows])
-    assert len(bins) == packing.lower_bound(lengths, 2048)
+    assert len(bins) == packing.lower_bound(np.bincount(lengths), 2048)
     assert packing.pack_documents(documents(spark, []), JSON, P.PATTERN).count() == 0
 
 
@@ -106,26 +106,64 @@ def test_bounds_hold():
         bins, offsets, count = packing.best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths)
         assert fill.max() <= capacity and len(fill) == count
-        assert packing.lower_bound(lengths, capacity) <= fewest(lengths, capacity) <= count
-        met += packing.lower_bound(lengths, capacity) == count
+        bound = packing.lower_bound(np.bincount(lengths), capacity)
+        assert bound <= fewest(lengths, capacity) <= count
+        met += bound == count
     assert met > 120
 
 
-def test_partitions_exchange(spark, monkeypatch):
+def test_counts_are_packed_like_items():
+    rng = random.Random(9)
+    for i in range(300):
+        capacity = rng.choice([10, 17, 64, 2048])
+        kinds = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 12))]
+        lengths = np.array([rng.choice(kinds) if i % 2 else rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 400))])
+        count = np.bincount(lengths, minlength=capacity + 1)
+        patterns = packing.best_fit_by_count(count, capacity)
+        assert sum(b for b, _ in patterns) == packing.best_fit_decreasing(lengths, capacity)[2]
+        held = Counter()
+        for b, pattern in patterns:
+            assert sum(n * each for n, each in pattern) <= capacity
+            for n, each in pattern:
+                held[n] += b * each
+        assert held == Counter(lengths.tolist())
+
+
+def test_counts_of_a_huge_corpus():
+    """Ten thousand million items in a moment: what the driver does depends on the number of lengths."""
+    rng = np.random.default_rng(4)
+    count = rng.integers(0, 10_000_000, 2049)
+    count[0] = count[2048] = 0
+    patterns = packing.best_fit_by_count(count, 2048)
+    bins, bound = sum(b for b, _ in patterns), packing.lower_bound(count, 2048)
+    assert len(patterns) < 20_000 and bound <= bins <= bound * 11 / 9 + 1  # the rule's worst case
+    begin, each, first, offset = packing.places(patterns)
+    assert len(begin) < 200_000 and (np.diff(begin) > 0).all()
+
+
+def test_partitions_exchange(spark):
     """Small partitions leave gaps that exchanging closes."""
-    monkeypatch.setattr(packing, "DEALT", 40)
     rng = random.Random(8)
     rows = [(i, 0, 0, rng.choice([2048, *[rng.randrange(1, 2048)] * 9]), i) for i in range(900)]
     items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(items).collect()
-    assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((r[0], r[3]) for r in rows)
-    fill = defaultdict(int)
-    for r in got:
-        fill[r["sequence_id"]] += r["length"]
-    assert max(fill.values()) <= 2048
-    monkeypatch.setattr(packing, "MOST", 0)  # one round
-    once = packing.pack(items).select("sequence_id").distinct().count()
-    assert packing.lower_bound(np.array([r[3] for r in rows]), 2048) <= len(fill) < once
+    lengths = np.array([r[3] for r in rows])
+    for dealt in (40, 7, 1, 10_000):
+        got = packing.pack(items, dealt=dealt).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((r[0], r[3]) for r in rows)
+        bins = defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for b in bins.values():
+            at = 0
+            for offset, length in sorted(b):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        apart = sum(packing.best_fit_decreasing(lengths[i : i + dealt], 2048)[2] for i in range(0, 900, dealt)) if dealt < 900 else 900
+        bound = packing.lower_bound(np.bincount(lengths), 2048)
+        assert bound <= len(bins) <= bound + 1 and len(bins) < apart
+        assert max(r["part_bins"] - r["part_bound"] for r in got) <= 1
+    assert packing.pack(items.where("length = 2048")).count() == (lengths == 2048).sum()
 
 
 def test_digest_of_ids():
