@@ -146,6 +146,18 @@ def test_shards(spark, rows_per_cell):
     assert {(r["doc_id"], r["shard"]) for r in rows} != {(r["doc_id"], r["shard"]) for r in other}
 
 
+def test_shards_of_many_small_sources(spark):
+    """Sources of one row each spread over all shards as evenly as one large source does."""
+    n = 640
+    source = lambda i: "hot" if i < n else f"s{i}" if i < 2 * n else f"p{i // 2}"
+    rows = sharding.interleave(documents(spark, [f"text {i}" for i in range(4 * n)], source), 16, rows_per_cell=100).collect()
+    for kind, of in (("h", n), ("s", n), ("p", 2 * n)):
+        held = Counter(r["shard"] for r in rows if r["source"][0] == kind)
+        assert all(abs(held[s] - of / 16) <= 1 for s in range(16)), (kind, held)
+    pairs = Counter(r["source"] for r in rows if r["source"][0] == "p")
+    assert set(pairs.values()) == {2}
+
+
 def test_shards_of_few_rows(spark):
     assert sharding.interleave(documents(spark, [])).count() == 0
     rows = sharding.interleave(documents(spark, ["a", "a", None], ids=[1, 1, None]), 2).collect()
