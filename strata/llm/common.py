@@ -72,3 +72,10 @@ def row_key(doc_id: Column, text: Column) -> Column:
     """Names a row by its content, so that repeated ids with other texts stay apart and whole repeated
     rows, whose results are equal, share a key."""
     return F.xxhash64(doc_id, F.length(text), text)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or with underscores put before it until no column has it or begins with it, whatever the case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name

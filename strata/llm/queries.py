@@ -102,6 +102,39 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
+#: A sketch is the 256 smallest of the shingles' digests, 15 digits each; a fingerprint shows them as eight bytes each.
+_OP3_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, COALESCE(text, '') AS text, COALESCE(LEAD(text) OVER byid, CASE WHEN LEAD(doc_id) OVER byid IS NULL THEN FIRST_VALUE(text) OVER byid END, '') AS next, length(COALESCE(text, '')) AS n
+    FROM documents WINDOW byid AS (ORDER BY doc_id)
+), edits AS (
+    SELECT *, left(text, n - n // 4) || left(next, n // 4) AS edited FROM texts
+), sketched AS (
+    SELECT doc_id, kind, list_sort(list_distinct(list_transform(
+        CASE WHEN len(words) = 0 THEN [] ELSE list_transform(range(1, greatest(2, len(words) - 3)), lambda i: array_to_string(words[i:i + 4], ' ')) END,
+        lambda x: substr(md5(x), 1, 15))))[1:256] AS s
+    FROM (
+        SELECT doc_id, 'own' AS kind, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM edits
+        UNION ALL SELECT doc_id, 'edited', regexp_extract_all(edited, '[^ 	-
+]+') FROM edits
+        UNION ALL SELECT doc_id, 'next', regexp_extract_all(next, '[^ 	-
+]+') FROM edits
+    )
+), wide AS (
+    SELECT doc_id, ANY_VALUE(s) FILTER (kind = 'own') AS a, ANY_VALUE(s) FILTER (kind = 'edited') AS b, ANY_VALUE(s) FILTER (kind = 'next') AS c FROM sketched GROUP BY doc_id
+), unions AS (
+    SELECT *, list_sort(list_distinct(a || b))[1:256] AS ab, list_sort(list_distinct(a || c))[1:256] AS ac FROM wide
+)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+    to_base64(unhex(array_to_string(list_transform(a, lambda x: '0' || x), ''))) AS fingerprint,
+    to_base64(unhex(array_to_string(list_transform(b, lambda x: '0' || x), ''))) AS edited_fingerprint,
+    CASE WHEN len(ab) = 0 THEN 1 ELSE len(list_intersect(ab, list_intersect(a, b)))::DOUBLE / len(ab) END AS near_edited,
+    CASE WHEN len(ac) = 0 THEN 1 ELSE len(list_intersect(ac, list_intersect(a, c)))::DOUBLE / len(ac) END AS near_next,
+    CASE WHEN len(a) < 256 THEN len(a)::DOUBLE ELSE 255 / ((('0x' || a[256])::BIGINT::DOUBLE + 1) / 1152921504606846976::DOUBLE) END AS distinct_shingles
+FROM edits JOIN unions USING (doc_id)
+"""
+
 #: Blobs are cut by place, so a window is the digest of 400 bytes. Kept pieces lie between the spans, and are joined as hexadecimal digits.
 _OP10_SQL = """
 WITH docs AS (
@@ -162,4 +195,4 @@ _OP8_SQL = re.sub(r"\{draw\((.*?)\)\}(?= AS|,| \+)", r"('0x' || substr(md5(\1),
 
 def oracle_sql() -> dict[str, str]:
     """Of the other queries, models, signatures and token ids aren't expressible in SQL. They are tested against plain Python."""
-    return {"op5_substring_dedup": _OP5_SQL, "op8_sharding": _OP8_SQL, "op10_suffix_array_dedup": _OP10_SQL}
+    return {"op3_document_fingerprints": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op8_sharding": _OP8_SQL, "op10_suffix_array_dedup": _OP10_SQL}
