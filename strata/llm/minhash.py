@@ -7,7 +7,7 @@ their weighted Jaccard similarity. The weight axis is discretised hierarchically
 is a process of its own with rate in proportion to its width, so a shingle of weight w costs log2 w processes, and in the last shell
 points at or above w are passed over. A process is followed only until its time passes the largest value in the signature so far.
 
-Equal texts are first collapsed to one node. Nodes with equal bands of the signature share a bucket, whose smallest node is its pivot.
+Equal texts are first collapsed to one node, known by 64 bits, and by 64 more where those meet. Nodes with equal bands of the signature share a bucket, whose smallest node is its pivot.
 Pairs are compared only if sizes and signatures leave it open that they are similar enough, and then by exact multiset overlap.
 
 1. Each node is compared with the smallest of its pivots: one pair a node, which settles groups of near copies as a star.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, text_or_empty
+from .common import discard, materialize, row_key, text_or_empty, unused
 from .repeats import BLOCK, U, buffers, hashes, mix, prefix_sums, word_symbols, _long_word_symbols
 
 SHINGLE = 5
@@ -99,38 +99,69 @@ def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sign", pa.binary())])
+_SIGNED_DDL = "doc_id long, key long, node long, check long, size long, buckets array<long>, sign binary"
+
+
 def _sign(bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sign", pa.binary())])
+    """Signs each text once a batch: copies that come later in it have their size only, so that a group of copies doesn't meet in its buckets."""
+
+    def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, band hashes and short signatures of some texts."""
+        data, cuts = buffers(texts)
+        bags, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK, "right")) - 1)
+            if j == i + 1:
+                bags.append(shingles(text_words(data[cuts[i] : cuts[j]])))
+            else:
+                words, at = word_symbols(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+                bags += [shingles(words[a:b]) for a, b in zip(at, at[1:])]
+            i = j
+        times = signatures(bags, bands * rows)
+        return np.array([int(w.sum()) for _, w in bags], np.int64), band_hashes(times, bands, rows).view(np.int64), (mix(times.view(U)) & U(0xFFFF)).astype("<u2")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, cuts = buffers(batch.column("text"))
+            if not batch.num_rows:
+                continue
+            names = np.column_stack([batch.column(c).to_numpy() for c in ("node", "check")])
+            _, own, text = np.unique(names, axis=0, return_index=True, return_inverse=True)
+            text = own[text.ravel()]
+            own.sort()
+            sizes = np.zeros(batch.num_rows, np.int64)
+            cuts = buffers(batch.column("text"))[1]
+            length = np.cumsum(np.diff(cuts)[own])
             lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 4 * BLOCK, "right")) - 1)
-                bags = []
-                i = lo
-                while i < hi:
-                    j = min(hi, max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK, "right")) - 1))
-                    if j == i + 1:
-                        bags.append(shingles(text_words(data[cuts[i] : cuts[j]])))
-                    else:
-                        words, at = word_symbols(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
-                        bags += [shingles(words[a:b]) for a, b in zip(at, at[1:])]
-                    i = j
-                times = signatures(bags, bands * rows)
-                h = band_hashes(times, bands, rows).view(np.int64)
-                short = (mix(times.view(U)) & U(0xFFFF)).astype("<u2")
-                sizes = np.array([int(w.sum()) for _, w in bags])
-                part = batch.slice(lo, hi - lo)
-                full = np.where(sizes > 0, bands, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(h[sizes > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("node"), pa.array(sizes, pa.int64()), lists, pa.array([x.tobytes() for x in short], pa.binary())], schema=schema)
+            while lo < len(own):  # texts of about four blocks, then all rows up to the next such text
+                hi = max(lo + 1, int(np.searchsorted(length, (length[lo - 1] if lo else 0) + 4 * BLOCK, "right")))
+                first, end = int(own[lo]), int(own[hi]) if hi < len(own) else batch.num_rows
+                some = own[lo:hi]
+                sizes[some], h, short = signed(batch.column("text").take(pa.array(some)))
+                n = end - first
+                full = np.zeros(n, np.int32)
+                full[some - first] = np.where(sizes[some] > 0, bands, 0)
+                signs = np.full(n, None, object)
+                signs[some - first] = [x.tobytes() for x in short]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(h[sizes[some] > 0].ravel()))
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _SIGNED.names[:4]), pa.array(sizes[text[first:end]]), lists, pa.array(signs, pa.binary())], schema=_SIGNED)
                 lo = hi
 
     return sign
 
 
+def _apart(signed: DataFrame) -> DataFrame:
+    """Texts whose first 64 bits are equal and whose other 64 bits aren't get nodes of their own."""
+    twins = signed.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most").select("node", "least")
+    twins = materialize(twins, "twins")
+    if twins.isEmpty():
+        discard(twins)
+        return signed
+    node = F.when(F.col("check") == F.coalesce("least", "check"), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    return signed.join(twins, "node", "left").withColumn("node", node).drop("least")
+
+
 def _verify(num: int, den: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -335,18 +366,20 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     counts as empty. Equal texts are always in one class; texts without a word have no other links, texts of fewer than five words
     have one shingle. A class_id is null only if all doc_ids of the class are. An empty table gives no rows. Other columns are ignored.
     """
-    text = text_or_empty()
-    source = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), F.xxhash64(F.length(text), text).alias("node"), text.alias("text"))
-    signed = materialize(source.mapInArrow(_sign(bands, rows), "doc_id long, key long, node long, size long, buckets array<long>, sign binary"), "signed")
+    text, identity = text_or_empty(), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id")
+    source = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), F.xxhash64(F.length(text), text).alias("node"), F.xxhash64(text, F.lit("check")).alias("check"), text.alias("text"))
+    written = materialize(source.mapInArrow(_sign(bands, rows), _SIGNED_DDL), "signed")
+    signed = _apart(written)
     spread = signed.select("node", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("bucket", "pivot")
     members = materialize(spread.join(shared, "bucket").select("bucket", "node", "pivot").distinct(), "members")
     # one row of each node that shares a bucket: which row has its text, its size and its signature
     nodes = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
-    nodes = materialize(nodes.agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("sign").alias("sign")), "nodes")
+    nodes = nodes.agg(F.min(F.struct(identity, "key")).alias("row"), F.first("size").alias("size"), F.first("sign", ignorenulls=True).alias("sign"))
+    nodes = materialize(nodes.select("node", "row.id", "row.key", "size", "sign"), "nodes")
     # a merge at every size: a small corpus then shows the costs that a large one has, whose nodes can't be broadcast
-    wanted = nodes.select("node", "key").hint("merge")
-    texts = materialize(source.join(wanted, ["node", "key"], "left_semi").select("node", "text"), "texts")
+    wanted = nodes.select("node", "id", "key").hint("merge")
+    texts = materialize(source.select(identity, "key", "text").join(wanted, ["id", "key"]).select("node", "text"), "texts")
     about = nodes.select("node", "size", "sign")
     pivots = about.select(F.col("node").alias("pivot"), F.col("size").alias("other_size"), F.col("sign").alias("other_sign"))
     near = _plausible(bands * rows, least)
@@ -372,17 +405,23 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     if not more.isEmpty():
         roots = components(found.unionByName(more))
     discard(members, nodes, texts, stars, found, rest, opened, able_rows, more)
-    placed = signed.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("class_node"), F.col("size").alias("n_shingles"))
-    return placed.join(placed.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("class_key")), "class_node").select(
-        "doc_id", "key", "node", "class_node", "class_id", "n_shingles"
-    )
+    # a table of nodes and one of classes, written first: what joins to a hot one is then split over tasks
+    named = signed.groupBy("node").agg(F.min("doc_id").alias("id")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "id")
+    named = materialize(named, "node-classes")
+    ids = materialize(named.groupBy("class_node").agg(F.min("id").alias("class_id")), "class-ids")
+    placed = materialize(named.select("node", "class_node").join(ids, "class_node"), "classes")
+    discard(named, ids)
+    return signed.join(placed, "node").select("doc_id", "key", "node", "class_node", "class_id", F.col("size").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that come first in their class: smallest doc_id, and of rows equal in id and text one."""
-    text = text_or_empty()
+    """The rows of docs, with all columns, that come first in their class: smallest doc_id, and of rows equal in id and text one. An
+    empty table gives no rows."""
+    text, key = text_or_empty(), unused("key", docs.columns)
     found = classes(docs)
     # nulls sort last, so that a class keeps a row with an id if it has one
-    first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
-    kept = docs.withColumn("__key", row_key(F.col("doc_id"), text)).join(first, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*(f"`{c}`" for c in docs.columns))
+    first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first"))
+    first = first.select(F.col("first.key").alias(key), F.col("first.doc_id").alias(f"{key}_id"))
+    kept = docs.withColumn(key, row_key(F.col("doc_id"), text))
+    kept = kept.join(first, (kept[key] == first[key]) & kept["doc_id"].eqNullSafe(first[f"{key}_id"]), "left_semi")
+    return kept.dropDuplicates([key, "doc_id"]).select(*(f"`{c}`" for c in docs.columns))

@@ -113,3 +113,59 @@ def test_near_copies_of_a_template_among_its_variants(spark):
     texts += [" ".join(template), " ".join(near)]
     assert brute(texts) == [*range(301), 300]
     check(spark, texts)
+
+
+def test_large_buckets_and_stars_in_parts(spark, monkeypatch):
+    """Buckets of more nodes than a block has and pivots of more than a star has, with links only between non-pivots."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 4)
+    monkeypatch.setattr(minhash, "STAR", 3)
+    rng = random.Random(31)
+    base = passage(rng, 200).split()
+    texts = []
+    for i in range(40):  # pairs of near copies of variants, of which those of different pairs are just too far apart
+        words = base[:]
+        for k in range(6):
+            words[30 * k + rng.randrange(20)] = f"v{i}x{k}"
+        near = words[:]
+        near[199] = f"n{i}"
+        texts += [" ".join(words), " ".join(near)]
+    check(spark, texts)
+    check(spark, awkward(5))
+
+
+def test_equal_bits_of_different_texts(spark):
+    rows = [(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80)]
+    got = {r["doc_id"]: r["node"] for r in minhash._apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
+    assert got[1] == got[2] == 7 and got[4] == 8 and got[3] not in (7, 8)
+
+
+def test_recall_on_a_whole_table(spark):
+    """All pairs of a table with a common shingle, compared exactly: every class is found."""
+    d = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(d)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    bags = {i: bag(t) for i, t in texts.items()}
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    holders, pairs = {}, set()
+    for i, b in bags.items():
+        for s in b:
+            holders.setdefault(s, []).append(i)
+    for ids in holders.values():
+        pairs |= {(a, b) for a in ids for b in ids if a < b and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for a, b in pairs:
+        both = sum((bags[a] & bags[b]).values())
+        if 5 * both >= 4 * (size[a] + size[b] - both):
+            links += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    blank = [i for i in sorted(texts) if not size[i]]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert links > 50 and got == {i: find(i) for i in texts} or blank and all(got[i] == find(i) for i in texts if size[i])
