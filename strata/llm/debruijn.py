@@ -70,7 +70,7 @@ def without_repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     marked = rows_with_spans(rows, spans)
     changed = F.col("spans").isNotNull()
-    text = F.when(changed, cut("text", "spans")).when(~F.col("rest.__no_text"), F.col("text"))
+    text = F.when(changed, cut("text", "spans")).when(~F.col("no_text"), F.col("text"))
     marked = marked.select(changed.alias("changed"), text.alias("text"), "rest")
     n_chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
     return marked.select(*(F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns))

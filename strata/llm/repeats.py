@@ -369,7 +369,7 @@ def _resolve(unit: str, length: int, keep_first: bool, together: int = TOGETHER)
 
 
 def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool = False, most: int = MOST, whole_rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans). rows: doc_id, id, key, text of docs, null texts as empty, and with whole_rows the row but its text in a struct, rest. spans: id, key, at, len of symbols covered
+    """(rows, spans). rows: doc_id, id, key, text of docs, null texts as empty, and with whole_rows no_text and the row but its text in a struct, rest. spans: id, key, at, len of symbols covered
     by windows that also begin elsewhere, or with keep_first by windows that begin earlier, in order of doc_id
     and place. Spans can overlap. id is doc_id, or the least number for null; rows with equal id and key are equal in id and text and share their spans.
 
@@ -377,7 +377,7 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_firs
     if length > OVERLAP + 1 or gram > length:
         raise ValueError(f"windows of at most {OVERLAP + 1} symbols, grams of at most a window")
     text = text_or_empty()
-    rest = [F.struct(F.col("text").isNull().alias("__no_text"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")] if whole_rows else []
+    rest = [F.col("text").isNull().alias("no_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")] if whole_rows else []
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"), row_key(F.col("doc_id"), text).alias("key"), text.alias("text"), *rest)
     runs_ = materialize(rows.select("id", "key", "text").mapInArrow(_find_runs(unit, length, gram), "id long, key long, at long, n int, mini long, content long"), "runs")
     again = materialize(runs_.groupBy("mini").count().where("count > 1").select("mini"), "minis")

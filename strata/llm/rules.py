@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, discard, materialize, text_or_empty
+from .common import SPACE_CLASS, discard, materialize, row_key, text_or_empty, unused
 
 MIN_WORDS = 20
 #: Largest share, in percent, of words in repeated windows.
@@ -44,8 +44,8 @@ def _statistics(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     windows = f"""if(size(`{p}hashes`) < {WINDOW}, array(),
         transform(sequence(1, size(`{p}hashes`) - {WINDOW - 1}), i -> xxhash64(slice(`{p}hashes`, i, {WINDOW}))))"""
     # windows in order of their hash, so that equal ones are neighbours; positions of those; words they cover
-    repeated = """transform(array(array_sort(transform(h, (x, i) -> struct(x as h, i as i)))), s ->
-        aggregate(array_sort(transform(filter(s, (x, j) -> (j > 0 and get(s, j - 1).h = x.h) or (j + 1 < size(s) and get(s, j + 1).h = x.h)), x -> x.i)),
+    repeated = """transform(array(sort_array(transform(h, (x, i) -> struct(x as h, i as i)))), s ->
+        aggregate(sort_array(transform(filter(s, (x, j) -> (j > 0 and get(s, j - 1).h = x.h) or (j + 1 < size(s) and get(s, j + 1).h = x.h)), x -> x.i)),
             named_struct('n', 0L, 'end', 0L),
             (a, i) -> named_struct('n', a.n + i + {w} - greatest(a.end, cast(i as long)), 'end', cast(i + {w} as long)),
             a -> a.n))[0]""".replace("{w}", str(WINDOW))
@@ -158,14 +158,15 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, threshold: float = 0.5, prefix: str = "__rule_") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    text, fence = f"{prefix}text", f"{prefix}fence"
-    texts = _statistics(docs.select(text_or_empty().alias(text)), text, prefix).drop(text)
-    votes = materialize(_with_votes(texts, prefix), "rule-votes")
-    prior, weights = _fit(votes, prefix)
+def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; an empty table stays empty. Statistics are computed once; what goes is a
+    table of names of rows, which Spark broadcasts only if it is small."""
+    row = unused("row", docs.columns)
+    identity = [F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias(f"{row}_id"), row_key(F.col("doc_id"), text_or_empty()).alias(f"{row}_key")]
+    texts = docs.select(*identity, text_or_empty().alias("text"))
+    votes = materialize(_with_votes(_statistics(texts, "text", "").drop("text"), ""), "rule-votes")
+    prior, weights = _fit(votes, "")
+    bad = votes.where(_base_failed("") | ~(_posterior("", prior, weights) >= threshold))
+    out = materialize(bad.select(f"{row}_id", f"{row}_key").distinct(), "rejected")
     discard(votes)
-    # a column that isn't deterministic, so that the filter isn't pushed below it and the statistics written out in it again and again
-    counted = _statistics(docs.withColumn(text, text_or_empty()), text, prefix).withColumn(fence, F.monotonically_increasing_id())
-    voted = _with_votes(counted, prefix).where(~_base_failed(prefix) & (_posterior(prefix, prior, weights) >= threshold) & (F.col(fence) >= 0))
-    return voted.select(*(f"`{c}`" for c in docs.columns))
+    return docs.select("*", *identity).join(out, [f"{row}_id", f"{row}_key"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
