@@ -81,25 +81,34 @@ def as_text(a: str) -> Column:
     return F.expr(f"replace(replace(base64(unhex(array_join(transform(`{a}`, h -> lpad(hex(h), 16, '0')), ''))), '\\r', ''), '\\n', '')")
 
 
-#: Parts at most. Beyond, parts have more bytes each; Spark sorts a part on disk if it has to.
-MOST_PARTS = 200_000
+#: Bytes of a part, parts of a task, and parts at most. Beyond, parts have more bytes each; Spark sorts a part on disk if it has to.
+PART_BYTES, TASK_PARTS, MOST_PARTS = 4 << 20, 4, 200_000
+#: What a row weighs besides its text.
+ROW_BYTES = 64
 
 
 def _bounds(rows: DataFrame, bytes_per_part: int, most_parts: int) -> list[dict[str, int]]:
-    """Where parts of rows (at, h, text) begin, in order of at and h: each eighth of a sample of about eight rows a part, chosen by
-    hash. It only decides which task handles a row."""
-    parts = F.greatest(F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.ceil(F.sum(F.octet_length("text")) / bytes_per_part))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "h")).alias("least"), parts.alias("parts")).first()
-    if not size["n"]:
+    """Where parts of rows (at, h, text) begin, in order of at and h: after each eighth point of a sample of about eight points a part, chosen
+    by hash in proportion to bytes. It only decides which task handles a row."""
+    weight = F.octet_length("text") + F.lit(ROW_BYTES)
+    size = rows.agg(F.sum(weight).alias("bytes"), F.min(F.struct("at", "h")).alias("least")).first()
+    if not size["bytes"]:
         return []
-    share = 8 * min(size["parts"], most_parts) / size["n"]
-    drawn = rows.select("at", "h").where(F.shiftrightunsigned(F.xxhash64("h", "at"), 11) / F.lit(float(1 << 53)) < share)
-    found = drawn.distinct().orderBy("at", "h").toArrow().to_pylist()
+    parts = min(most_parts, max(TASK_PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // bytes_per_part)))
+    uniform = F.shiftrightunsigned(F.xxhash64("h", "at"), 11) / F.lit(float(1 << 53))
+    drawn = rows.select("at", "h", F.floor(weight * F.lit(8 * parts / size["bytes"]) + uniform).alias("points")).where("points > 0")
+    found = drawn.groupBy("at", "h").agg(F.sum("points").alias("points")).orderBy("at", "h").toArrow()
     least = size["least"].asDict()
-    return [least, *(x for x in found[7::8] if x != least)]
+    bounds, held = [least], 0
+    for row in found.to_pylist():
+        held += row.pop("points")
+        if held >= 8 and row != least:
+            bounds.append(row)
+            held = 0
+    return bounds
 
 
-def edited_neighbours(docs: DataFrame, k: int = K, bytes_per_part: int = 16 << 20, most_parts: int = MOST_PARTS) -> DataFrame:
+def edited_neighbours(docs: DataFrame, k: int = K, bytes_per_part: int = PART_BYTES, most_parts: int = MOST_PARTS) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document's, and how they resemble.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next
@@ -132,7 +141,7 @@ def edited_neighbours(docs: DataFrame, k: int = K, bytes_per_part: int = 16 << 2
         .withColumn("to", F.expr(f"if(first, array(named_struct('part', part, 'extra', 0), named_struct('part', (part + {n - 1}) % {n}, 'extra', 1)), array(named_struct('part', part, 'extra', 0)))"))
         .select("doc_id", "at", "h", "text", F.explode("to").alias("to"))
         .select("doc_id", "at", "h", "text", "to.part", "to.extra")
-        .repartition(n, "part")
+        .repartition(max(1, n // TASK_PARTS), "part")
     )
     by = W.partitionBy("part").orderBy("extra", "at", "h", "text")
     near = (
