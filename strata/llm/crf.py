@@ -275,12 +275,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> Model:
     """Fits on labelled documents that aren't held out, `sample` at most. Labels without doc_id or quality don't count; of several
-    labels of a document the smallest does. The chosen ids are few enough to be broadcast."""
+    labels of a document the smallest does. The chosen ids are few enough to be broadcast. One task fits on the sample, a bounded amount, and
+    the driver gets the weights only."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= most_chars)
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "label").toArrow()
-    return fit(found.column("text").to_pylist(), found.column("label").to_pylist())
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, label = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            label += batch.column("label").to_pylist()
+        model = fit(texts, label)
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tolist(), "moves": model.moves.ravel().tolist(), "slope": model.slope, "shift": model.shift}])
+
+    for r in found.coalesce(1).mapInArrow(run, "weights array<double>, moves array<double>, slope double, shift double").collect():
+        return Model(np.array(r["weights"]), np.array(r["moves"]).reshape(2, 2), r["slope"], r["shift"])
+    return fit([], [])
 
 
 def scorer(model: Model):
