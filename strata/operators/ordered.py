@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Positions of a block.
 BLOCK = 1 << 17
 
@@ -52,8 +54,8 @@ def with_position(df: DataFrame, *order: str, name: str = "pos", parts: int | No
     counts of ranges before, of which there are few."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    # the range of a row must not be decided twice, so it's held while its number is counted
-    rows = rows.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1).persist()
+    # the range of a row and its number in it must not be decided twice, so they're written before they're counted
+    rows = written(rows.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1))
     counts = rows.groupBy("__part").count()
     before = counts.select("__part", (F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("__before"))
     return rows.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")

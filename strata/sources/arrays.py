@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Sequence
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts as C
 from ..operators import validate as V
 from ..operators.ordered import previous
+from ..storage import shared_folder
 from .catalog import Problem, Use
 from .container import Reader, Writer, _filesystem
 from .kinds import CORNERS, KINDS, Array
@@ -19,24 +19,65 @@ from .kinds import CORNERS, KINDS, Array
 _MIN, _MAX, _PARENT = CORNERS[:3], CORNERS[3:], [f"parent_{a}" for a in "uvw"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that driver and executors share; a local one only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.conf.get("spark.strata.shared.dir", None)
-        if not known:
-            known = f"file://{tempfile.mkdtemp(prefix='strata-shared-')}"
-            spark.conf.set("spark.strata.shared.dir", known)
-    known = known if "://" in known or known.startswith("file:") else f"file://{known}"
-    return f"{known.rstrip('/')}/arrays-{uuid.uuid4().hex}"
-
-
-def read_array(spark: SparkSession, reader: Reader, array: Array, folder: str | None = None) -> DataFrame:
+def read_array(spark: SparkSession, reader: Reader, array: Array, folder: str | None = None, uses: Sequence[Use] = ()) -> DataFrame:
     """pos and the columns of an array, in the types of its variant. The schema and the length are checked by the footer; the member
-    is copied to the shared folder and scanned there, with pruning and pushed filters as for any Parquet file."""
+    is copied to the shared folder and scanned there, with pruning and pushed filters as for any Parquet file. With uses, a row that breaks a
+    rule of one of them fails the job that reads it."""
     variant = reader.variant(array)
     path = reader.stage(array, folder or shared_folder(spark))
-    return spark.read.parquet(path).select(F.col("_metadata.row_index").alias("pos"), *KINDS[array.kind][variant].names)
+    df = spark.read.parquet(path).select(F.col("_metadata.row_index").alias("pos"), *KINDS[array.kind][variant].names)
+    return checked(df, uses)
+
+
+def row_fault(use: Use) -> Column | None:
+    """What is wrong in a row of the array, null where nothing is; or None, if the kind has no rule for rows. Needs the column "before" of a Boundary."""
+    kind, bounds = use.array.kind, use.bounds
+
+    def corners() -> Column:
+        return F.concat(*(x for side, last in ((_MIN, " to "), (_MAX, "")) for x in (F.lit("["), F.concat_ws(", ", *side), F.lit(f"]{last}"))))
+
+    if kind == "Scalar" and bounds.get("above_zero"):
+        whole = F.col("scalar").cast("long")
+        shown = F.when(F.col("scalar") == whole, whole.cast("string")).otherwise(F.col("scalar").cast("string"))
+        return F.when(F.col("scalar") <= 0, F.concat(F.lit("size value "), shown, F.lit(" is zero or less")))
+    if kind in ("Segment", "Triangle", "Index"):
+        names = KINDS[kind]["U32"].names
+        most = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        return F.when(most >= bounds["count"], F.concat(F.lit("index value "), most, F.lit(f" exceeds the maximum index {max(0, bounds['count'] - 1)}")))
+    if kind == "Boundary":
+        return F.when(F.col("value") < F.col("before"), F.lit("discrete colormap boundary decreases"))
+    if kind not in ("RegularSubblock", "FreeformSubblock"):
+        return None
+    outside = F.lit(False)
+    for p, n in zip(_PARENT, bounds["blocks"], strict=True):
+        outside = outside | (F.col(p) >= n)
+    fault = F.when(outside, F.concat(F.lit("block index ["), F.concat_ws(", ", *_PARENT), F.lit(f"] exceeds the maximum index {[b - 1 for b in bounds['blocks']]}")))
+    low, high = [F.col(c) for c in _MIN], [F.col(c) for c in _MAX]
+    block = F.concat(F.lit("sub-block "), corners())
+    if kind == "FreeformSubblock":
+        status = V.freeform_corners(low, high)
+        return fault.when(status == "zero_size", F.concat(block, F.lit(" has zero or negative size"))).when(status != "ok", F.concat(block, F.lit(" is outside the valid range of 0.0 to 1.0")))
+    cells, mode = bounds["cells"], bounds.get("mode")
+    status = V.regular_corners(low, high, cells)
+    fault = fault.when(status == "zero_size", F.concat(block, F.lit(" has zero or negative size"))).when(status != "ok", F.concat(block, F.lit(f" exceeds the maximum {list(cells)}")))
+    return fault.when(V.mode_broken(low, high, cells, mode.lower()), F.concat(block, F.lit(f" is invalid for {mode} mode"))) if mode else fault
+
+
+def checked(df: DataFrame, uses: Sequence[Use]) -> DataFrame:
+    """df, whose rows fail the job that reads them if they break a rule of a use."""
+    columns = df.columns
+    faults = []
+    for use in uses:
+        fault = row_fault(use)
+        if fault is not None:
+            head, tail = str(Problem(use.type, use.field, "array contains invalid data: \0", use.name)).split("\0")
+            faults.append(F.concat(F.lit(head), fault, F.lit(tail)))
+    if not faults:
+        return df
+    if "inclusive" in columns:
+        df = previous(df, F.col("value"), "before")
+    fault = F.coalesce(*faults)
+    return df.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).select(*columns)
 
 
 def as_kind(df: DataFrame, source: str, target: str, column: str = "number") -> DataFrame:
@@ -61,7 +102,7 @@ def boundary_values(df: DataFrame) -> list:
 def write_array(writer: Writer, kind: str, variant: str, df: DataFrame) -> Array:
     """Writes df (pos and the kind's columns) as one member, in order of pos. Spark sorts by ranges into the shared folder; the
     driver then copies file after file, a batch at a time, so what it holds doesn't grow with the array."""
-    folder = shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession) + "/table"
     df.sort("pos").drop("pos").write.parquet(folder)
     fs, at = _filesystem(folder)
     from pyarrow.fs import FileSelector

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrays import array_problems, read_array, write_array
-from .catalog import Problem, ValidationFailed, check_tree, limited, tables
+from .catalog import Problem, Use, ValidationFailed, check_tree, limited, tables
 from .container import Limits, Reader, Writer
 from .kinds import KINDS, Array
 
@@ -93,17 +93,20 @@ class ProjectReader:
         if any(not p.warning for p in problems):
             raise ValidationFailed(limited(problems, self.file.limits.validation))
         self.warnings = limited(problems, self.file.limits.validation)
-        self._kinds = {u.array.filename: u.array for u in self._uses}
+        self._by_member: dict[str, list[Use]] = {}
+        for u in self._uses:
+            self._by_member.setdefault(u.array.filename, []).append(u)
 
     def tables(self) -> dict[str, DataFrame]:
         return tables(self.spark, self.project)
 
     def pointer(self, a: dict) -> Array:
-        return self._kinds[a["filename"]]
+        return self._by_member[a["filename"]][0].array
 
-    def array(self, a: dict) -> DataFrame:
-        """pos and the values of an array, by its pointer in the tree."""
-        return read_array(self.spark, self.file, self.pointer(a))
+    def array(self, a: dict, check: bool = True) -> DataFrame:
+        """pos and the values of an array, by its pointer in the tree. Reading a row that breaks a rule of one of the array's uses fails, unless
+        check is False; problems() tells them all."""
+        return read_array(self.spark, self.file, self.pointer(a), uses=self._by_member[a["filename"]] if check else ())
 
     def variant(self, a: dict) -> str:
         return self.file.variant(self.pointer(a))
