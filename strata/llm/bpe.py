@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import frugal, materialize, text_or_empty
 
 #: Words of the dictionary at most, and bytes of one of them; words seen less often in ROWS rows aren't candidates.
 WORDS, WORD_BYTES, SEEN = 350_000, 64, 2
@@ -141,7 +141,7 @@ def _count(pattern: str, seen: int, most: int):
             words = {w: n for w, n in words.items() if n >= seen and len(w) <= most and len(w.encode()) <= most}
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=schema)
 
-    return count
+    return frugal(count)
 
 
 def dictionary(texts: DataFrame, pattern: str, ranks: dict[bytes, int], words: int = WORDS) -> dict[str, bytes]:
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS, decoded
                 columns.append(pa.array((_joined(x, pieces) for x in ids), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, ids binary" + ", bytes binary" * decoded)
+    return texts.mapInArrow(frugal(run), "doc_id long, ids binary" + ", bytes binary" * decoded)
 
 
 def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
@@ -236,4 +236,4 @@ def decode(encoded_rows: DataFrame, path: str) -> DataFrame:
             data = (_joined(x.as_buffer(), pieces.value) if x.is_valid else None for x in part.column("ids"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(data, pa.binary())], schema=schema)
 
-    return encoded_rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return encoded_rows.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, ids binary, bytes binary")

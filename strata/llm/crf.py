@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import frugal, give_back, text_or_empty
 from .repeats import BLOCK, U, buffers, byte_symbols, hashes, mix, prefix_sums, word_places
 
 #: The model is fitted on so many labelled documents at most, chosen by a hash of doc_id, none of which is longer than MOST_CHARS.
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars:
         model = fit(texts, label)
         yield pa.RecordBatch.from_pylist([{"weights": model.weights.tolist(), "moves": model.moves.ravel().tolist(), "slope": model.slope, "shift": model.shift}])
 
-    for r in found.coalesce(1).mapInArrow(run, "weights array<double>, moves array<double>, slope double, shift double").collect():
+    for r in found.coalesce(1).mapInArrow(frugal(run), "weights array<double>, moves array<double>, slope double, shift double").collect():
         return Model(np.array(r["weights"]), np.array(r["moves"]).reshape(2, 2), r["slope"], r["shift"])
     return fit([], [])
 
@@ -300,7 +300,9 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts))
+        out = pa.array(model.score(texts))
+        give_back()
+        return out
 
     return lambda text: score(F.coalesce(text, F.lit("")))
 

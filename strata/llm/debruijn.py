@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, give_back
 from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 35
@@ -55,7 +56,7 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, keep_first: boo
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
     return rows_with_spans(rows, spans).select("doc_id", "text", "spans").mapInArrow(
-        apply, "doc_id long, n_words long, n_removed long, spans array<struct<begin:long,end:long>>, kept string, kept_sha256 string"
+        frugal(apply), "doc_id long, n_words long, n_removed long, spans array<struct<begin:long,end:long>>, kept string, kept_sha256 string"
     )
 
 
@@ -66,7 +67,9 @@ def without_repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array((_kept(t.as_buffer().to_pybytes(), s.as_py())[3].decode() if s.is_valid else None for t, s in zip(texts, spans, strict=True)), pa.string())
+        out = pa.array((_kept(t.as_buffer().to_pybytes(), s.as_py())[3].decode() if s.is_valid else None for t, s in zip(texts, spans, strict=True)), pa.string())
+        give_back()
+        return out
 
     marked = rows_with_spans(rows, spans)
     changed = F.col("spans").isNotNull()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, text_or_empty, unused
+from .common import discard, frugal, materialize, row_key, text_or_empty, unused
 from .repeats import BLOCK, U, buffers, hashes, mix, prefix_sums, word_symbols, _long_word_symbols
 
 SHINGLE = 5
@@ -148,7 +148,7 @@ def _sign(bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _SIGNED.names[:4]), pa.array(sizes[text[first:end]]), lists, pa.array(signs, pa.binary())], schema=_SIGNED)
                 lo = hi
 
-    return sign
+    return frugal(sign)
 
 
 def _apart(signed: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _verify(num: int, den: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
-    return verify
+    return frugal(verify)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -227,7 +227,7 @@ def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
     """
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     if links.count() <= together:
-        roots = materialize(links.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
+        roots = materialize(links.coalesce(1).mapInArrow(frugal(_union), "node long, root long"), "roots")
         discard(links)
         return roots
     state = None
@@ -326,7 +326,7 @@ def _within(num: int, den: int):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
-    return run
+    return frugal(run)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +344,7 @@ def _able(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFra
     text can reach at most the share of its other shingles. Exact: it settles groups of variants that each differ from all others
     by a little too much, of which no pair is a link and every pair looks like one."""
     num, den = least
-    counted = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_counted, "node long, shingle long, n long")
+    counted = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(frugal(_counted), "node long, shingle long, n long")
     own = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("n").alias("n")).where("texts = 1")
     own = own.groupBy("node").agg(F.sum("n").alias("own"))
     return nodes.join(own, "node", "left").where(f"{den} * (size - coalesce(own, 0)) >= {num} * size").select("node")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import frugal, materialize, text_or_empty
 
 SEQUENCE = 2048
 #: Items of a partition.
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, sequence: int = SEQUEN
                     piece, at, end = piece + 1, end, end + sequence
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECES.types, strict=True)], schema=PIECES) if out else pa.RecordBatch.from_pylist([], schema=PIECES)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, _PIECES_DDL)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(run), _PIECES_DDL)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -248,7 +248,7 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, dealt: int = DEALT) -> Data
             yield pa.RecordBatch.from_arrays([*batch.select(PIECES.names).columns, *map(pa.array, got)], schema=pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())]))
 
     ranked = pool.join(before, ["part", "length"]).select(*PIECES.names, (F.col("rank") + F.col("before")).alias("rank"))
-    placed = ranked.mapInArrow(assign, f"{_PIECES_DDL}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(frugal(assign), f"{_PIECES_DDL}, sequence_id long, offset long")
     return out.unionByName(placed.withColumns({"part_bins": F.lit(bins).cast("long"), "part_bound": F.lit(bound).cast("long")})) if patterns else out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, text_or_empty
+from .common import discard, frugal, materialize, row_key, text_or_empty
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -216,7 +216,7 @@ def _find_runs(unit: str, length: int, gram: int) -> Callable:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
-    return find
+    return frugal(find)
 
 
 def _cut_out(unit: str, length: int) -> Callable:
@@ -236,7 +236,7 @@ def _cut_out(unit: str, length: int) -> Callable:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return cut
+    return frugal(cut)
 
 
 def ranks(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -293,7 +293,7 @@ def _windows(unit: str, length: int) -> Callable:
             whole["at"] = whole["at"] + step
             yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64) if c == "window" else whole[c]) for c in schema.names], schema=schema)
 
-    return windows
+    return frugal(windows)
 
 
 #: Bytes of symbols that are compared at once, but for a minimiser that has more. Arrays made on the way are about a hundred times as large.
@@ -365,7 +365,7 @@ def _resolve(unit: str, length: int, keep_first: bool, together: int = TOGETHER)
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (x for x in map(solve, groups(batches)) if x is not None)
 
-    return resolve
+    return frugal(resolve)
 
 
 def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool = False, most: int = MOST, whole_rows: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
 from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 400
@@ -47,7 +48,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
     return rows_with_spans(rows, spans).select("doc_id", "text", "spans").mapInArrow(
-        apply, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
+        frugal(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
     )
 
 
