@@ -93,3 +93,13 @@ def channel(value: Column) -> Column:
 def category_index(value: Column) -> tuple[Column, Column]:
     """-1 as null; and whether the index is out of range for 32 bits without sign."""
     return F.when(value != -1, value), (value < -1) | (value > F.lit(2**32 - 1))
+
+
+def two_valued(value: Column) -> Column:
+    """A boolean whose null counts as false."""
+    return F.coalesce(value, F.lit(False))
+
+
+def metadata(text: Column, path: str, kind: str = "string") -> Column:
+    """The value at a path ("$.by.crew", "$.depth[1]") of JSON metadata, null where there is none, it isn't of that kind or the text isn't JSON."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)

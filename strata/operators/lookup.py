@@ -60,6 +60,17 @@ def grid_corners(u: DataFrame, v: DataFrame, nu: int) -> DataFrame:
     return pairs.select((F.col("j").cast("long") * nu + F.col("i")).alias("pos"), "x", "y")
 
 
+def surface_vertices(corners: DataFrame, heights: DataFrame | None, origin: G.Vector, u: G.Vector, v: G.Vector, height: str = "scalar", pos: str = "pos") -> DataFrame:
+    """Vertices (pos, x, y, z) of a grid surface from its corners (pos, x along u, y along v) and their heights above its plane, along the
+    normal u x v. No heights, and none for a corner: 0."""
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    up = F.lit(0.0)
+    if heights is not None:
+        corners, up = attribute(corners, heights, pos), F.coalesce(F.col(height).cast("double"), F.lit(0.0))
+    placed = G.to_world([F.col("x"), F.col("y"), up], origin, [u, v, normal])
+    return corners.select(pos, *(c.alias(n) for c, n in zip(placed, "xyz", strict=True)))
+
+
 def totals(df: DataFrame, by: str, **sums: Column) -> DataFrame:
     """Rows and sums by a category's column."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(n) for n, c in sums.items()))

@@ -137,3 +137,20 @@ def legend_scores(names: DataFrame, legend: str, name: str) -> DataFrame:
     return names.groupBy(legend).agg(
         F.count_distinct(F.nullif(F.col(name), F.lit(""))).alias("uniq"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0)).cast("long").alias("total")
     )
+
+
+def gradient_scores(colors: DataFrame, legend: str, *channels: str) -> DataFrame:
+    """For each legend: number of different colors."""
+    return colors.groupBy(legend).agg(F.count_distinct(F.struct(*channels)).alias("colors"))
+
+
+def shared_cells(subblocks: DataFrame, parent: Sequence[str], low: Sequence[str], high: Sequence[str]) -> DataFrame:
+    """Cells of regular sub-blocks' parents that more than one sub-block covers: the parent, the cell and how many there are. Sub-blocks should
+    not overlap. A sub-block gives a row for each cell in it, and rows are counted before they are shuffled; no two sub-blocks are paired."""
+    rows, cell = subblocks.select(*parent, *low, *high), []
+    for i, (a, b) in enumerate(zip(low, high, strict=True)):
+        cell.append(f"cell_{i}")
+        last = F.col(b).cast("long") - 1
+        inside = F.when(last >= F.col(a).cast("long"), F.sequence(F.col(a).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+        rows = rows.withColumn(cell[-1], F.explode(inside))
+    return rows.groupBy(*parent, *cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -444,6 +444,45 @@ def element_extents(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("x0"), F.max("c_acctbal").alias("x1"))
 
 
+@_query(
+    "SELECT CAST(u.n_nationkey + 25*v.r_regionkey AS BIGINT) AS pos, ROUND(5e0 + (u.n_nationkey*2e0*0.6e0 + v.r_regionkey*3e0*0e0 + COALESCE(s.s_acctbal,0)*0.8e0), 6) AS x, ROUND(6e0 + (u.n_nationkey*2e0*0.8e0 + v.r_regionkey*3e0*0e0 - COALESCE(s.s_acctbal,0)*0.6e0), 6) AS y, ROUND(300e0 + v.r_regionkey*3e0, 6) AS z FROM nation u CROSS JOIN region v LEFT JOIN supplier s ON s.s_suppkey = u.n_nationkey + 25*v.r_regionkey"
+)
+def grid_surface_oriented(spark, d):
+    u = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") * 2.0).alias("edge"))
+    v = table(spark, d, "region").select(F.col("r_regionkey").alias("pos"), (F.col("r_regionkey") * 3.0).alias("edge"))
+    heights = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("pos"), F.col("s_acctbal").alias("scalar"))
+    placed = J.surface_vertices(J.grid_corners(u, v, 25), heights, [5.0, 6.0, 300.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0])
+    return placed.select("pos", *(F.round(a, 6).alias(a) for a in "xyz"))
+
+
+@_query("SELECT p_type AS legend, COUNT(DISTINCT CONCAT(p_size*5, ',', p_size%3, ',', p_partkey%4)) AS colors FROM part GROUP BY 1")
+def legend_gradient_score(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_type").alias("legend"), (F.col("p_size") * 5).alias("r"), (F.col("p_size") % 3).alias("g"), (F.col("p_partkey") % 4).alias("b"))
+    return V.gradient_scores(rows, "legend", "r", "g", "b")
+
+
+@_query("SELECT event_id AS pos, COALESCE(CASE WHEN user_id % 5 = 0 THEN NULL ELSE value >= 10 END, FALSE) AS flag FROM events")
+def boolean_two_valued(spark, d):
+    flag = F.when(F.col("user_id") % 5 != 0, F.col("value") >= 10)
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.two_valued(flag).alias("flag"))
+
+
+@_query("SELECT event_id AS pos, CAST(user_id % 9 AS BIGINT) AS first, CASE WHEN user_id % 2 = 0 THEN event_type END AS kind FROM events")
+def metadata_nested(spark, d):
+    inner = F.when(F.col("user_id") % 2 == 0, F.col("event_type"))
+    text = F.to_json(F.struct(F.array(F.lit(1), F.col("user_id") % 9).alias("list"), F.struct(inner.alias("kind")).alias("by")))
+    return table(spark, d, "events").select(F.col("event_id").alias("pos"), C.metadata(text, "$.list[1]", "bigint").alias("first"), C.metadata(text, "$.by.kind").alias("kind"))
+
+
+@_query(
+    "WITH s AS (SELECT l_orderkey%50 AS parent, CAST(l_quantity AS BIGINT)%4 AS lo, CAST(l_quantity AS BIGINT)%4 + l_linenumber%3 AS hi FROM lineitem), c AS (SELECT parent, UNNEST(range(lo, hi)) AS cell_0 FROM s) SELECT parent, cell_0, COUNT(*) AS n FROM c GROUP BY 1, 2 HAVING COUNT(*) > 1"
+)
+def subblock_overlap(spark, d):
+    low = F.col("l_quantity").cast("long") % 4
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("parent"), low.alias("lo"), (low + F.col("l_linenumber") % 3).alias("hi"))
+    return V.shared_cells(rows, ["parent"], ["lo"], ["hi"])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events with their colors of a discrete colormap, as hex."""
     c = K.discrete_color(F.col("value"), DISCRETE, PALETTE)

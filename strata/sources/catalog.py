@@ -40,6 +40,17 @@ class ValidationFailed(ValueError):
         super().__init__("Validation failed: " + "; ".join(map(str, problems[:20])))
 
 
+#: Bounds that a use of an array must have, and those it may have, by kind.
+_BOUNDS = {
+    "Scalar": (set(), {"above_zero"}),
+    "Segment": ({"count"}, set()),
+    "Triangle": ({"count"}, set()),
+    "Index": ({"count"}, set()),
+    "RegularSubblock": ({"blocks", "cells"}, {"mode"}),
+    "FreeformSubblock": ({"blocks"}, set()),
+}
+
+
 @dataclass
 class Use:
     """An array as its owner needs it: what indices and sub-blocks in it are bounded by."""
@@ -50,6 +61,11 @@ class Use:
     name: str | None
     bounds: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        needs, may = _BOUNDS.get(self.array.kind, (set(), set()))
+        if not needs <= set(self.bounds) <= needs | may:
+            raise TypeError(f"bounds {sorted(self.bounds)} don't fit a {self.array.kind} array")
+
 
 def elements(project: dict) -> Iterator[tuple[str, dict]]:
     """All elements with their paths, "0", "1/0" ...; parts of a composite follow it."""
@@ -78,6 +94,15 @@ def _grid_counts(grid: dict) -> list[int]:
     return [grid[a]["item_count"] for a in "uvw" if a in grid]
 
 
+def valid_locations(element: dict) -> list[str]:
+    """Where an application should let attributes lie: of a block model its sub-blocks, if it has any, and its blocks, not their corners."""
+    g = element["geometry"]
+    places = list(LOCATIONS[g["type"]])
+    if g["type"] == "BlockModel":
+        return ["Subblocks", "Primitives"] if g.get("subblocks") else ["Primitives"]
+    return places
+
+
 def location_lengths(element: dict) -> dict[str, int]:
     """How many values each location of an element takes. Projected textures take none."""
     g = element["geometry"]

@@ -7,13 +7,16 @@ is read by staging that range into the folder all executors share and scanning i
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
+import shutil
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,6 +29,8 @@ INDEX = "index.json.gz"
 VERSION = (2, 0)
 _COMMENT = re.compile(r"(.+) (\d+)\.(\d+)(?:-(\S+))?")
 ROW_GROUP = 1 << 20
+#: Bytes copied at once.
+BLOCK = 1 << 20
 
 
 class ContainerError(ValueError):
@@ -211,7 +216,7 @@ def image_type(data: bytes) -> str:
 
 @dataclass
 class Writer:
-    """Writes a container to a local file. Members are numbered from 1; the index comes last."""
+    """Writes a container to a local path or, as a stream, to a URI that Arrow's file systems know. Members are numbered from 1; the index comes last."""
 
     path: str
     compression: int = 6
@@ -221,7 +226,9 @@ class Writer:
 
     def __post_init__(self):
         self.compression = max(0, min(9, self.compression))
-        self._zip = zipfile.ZipFile(self.path, "w", zipfile.ZIP_STORED, allowZip64=True)
+        self._fs, self._at = _filesystem(self.path)
+        self._sink = open(self.path, "w+b") if isinstance(self._fs, pafs.LocalFileSystem) and self._at == self.path else self._fs.open_output_stream(self._at)
+        self._zip = zipfile.ZipFile(self._sink, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.names: set[str] = set()
 
     def _next(self, ending: str) -> str:
@@ -230,21 +237,37 @@ class Writer:
         self.names.add(name)
         return name
 
-    def image(self, data: bytes) -> Array:
-        """A PNG or JPEG image as it is."""
-        name = self._next(image_type(data))
-        self._zip.writestr(name, data)
+    def _copy(self, name: str, source: BinaryIO, head: bytes = b"") -> None:
+        with self._zip.open(name, "w", force_zip64=True) as sink:
+            sink.write(head)
+            shutil.copyfileobj(source, sink, BLOCK)
+
+    def image(self, data: bytes | BinaryIO) -> Array:
+        """A PNG or JPEG image as it is; an open file is copied block by block."""
+        source = io.BytesIO(data) if isinstance(data, bytes) else data
+        head = source.read(8)
+        name = self._next(image_type(head))
+        self._copy(name, source, head)
         return Array("Image", name, 0)
 
-    def parquet_bytes(self, kind: str, data: bytes) -> Array:
-        """A Parquet file as it is, if it has one of the kind's schemas."""
-        if len(data) < 8 or data[:4] != b"PAR1" or data[-4:] != b"PAR1":
+    def parquet_bytes(self, kind: str, data: bytes | BinaryIO) -> Array:
+        """A Parquet file as it is, if it has one of the kind's schemas; an open file, which must allow seeking, is copied block by block."""
+        source = io.BytesIO(data) if isinstance(data, bytes) else data
+        size = source.seek(0, io.SEEK_END)
+        ends = []
+        for at in (0, max(0, size - 4)):
+            source.seek(at)
+            ends.append(source.read(4))
+        if size < 8 or ends != [b"PAR1", b"PAR1"]:
             raise ContainerError("Error: array is not in Parquet encoding")
-        file = pq.ParquetFile(pa.BufferReader(data))
+        source.seek(0)
+        file = pq.ParquetFile(source)
         variant_of(kind, file)
+        rows = file.metadata.num_rows
+        source.seek(0)
         name = self._next("parquet")
-        self._zip.writestr(name, data)
-        return Array(kind, name, file.metadata.num_rows)
+        self._copy(name, source)
+        return Array(kind, name, rows)
 
     def batches(self, kind: str, variant: str, rows: Iterable[pa.RecordBatch | pa.Table]) -> Array:
         """Batches in order as one Parquet member, cast to the variant's schema where that loses nothing."""
@@ -275,10 +298,10 @@ class Writer:
         version = f"{VERSION[0]}.{VERSION[1]}" + (f"-{self.pre_release}" if self.pre_release else "")
         self._zip.comment = f"{self.format_name} {version}".encode()
         self._zip.close()
+        self._sink.close()
 
     def cancel(self) -> None:
         """Gives up and deletes the file."""
-        import os
-
         self._zip.close()
-        os.unlink(self.path)
+        self._sink.close()
+        self._fs.delete_file(self._at)

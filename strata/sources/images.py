@@ -10,6 +10,9 @@ import numpy as np
 from .container import ContainerError, LimitExceeded, Limits, image_type
 
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # gray, RGB, gray and alpha, RGBA
+_PALETTE = 3
+#: Fixed values of PNG: first column, first row, steps between columns and between rows of each pass of an interlaced image.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
 
 def size(data: bytes) -> tuple[int, int]:
@@ -44,37 +47,85 @@ def _chunks(data: bytes):
         at += 12 + n
 
 
+def _predicted(kind: int, line: bytes, above: bytes, step: int) -> np.ndarray:
+    """A row stored as differences from the mean of, or the nearest of, its neighbours: each byte needs the one before."""
+    done, up = bytearray(step), bytes(step) + above
+    for i, x in enumerate(line):
+        a, b, c = done[i], up[i + step], up[i]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        done.append((x + guess) & 255)
+    return np.frombuffer(done, np.uint8)[step:]
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of a filter's number and bytes, as bytes. step: bytes of a pixel."""
+    out = np.zeros((len(raw) + 1, raw.shape[1] - 1), np.uint8)
+    for y, (kind, line, above) in enumerate(zip(raw[:, 0].tolist(), raw[:, 1:], out)):
+        if kind == 0:
+            out[y + 1] = line
+        elif kind == 1:
+            out[y + 1] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            out[y + 1] = line + above
+        elif kind in (3, 4):
+            out[y + 1] = _predicted(kind, line.tobytes(), above.tobytes(), step)
+        else:
+            raise ContainerError(f"PNG filter {kind} is unknown")
+    return out[1:]
+
+
+def _samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
+    """Height x width x channels of samples of 1 to 16 bits."""
+    if depth == 16:
+        return rows.view(">u2").astype(np.uint16).reshape(len(rows), width, channels)
+    if depth == 8:
+        return rows.reshape(len(rows), width, channels)
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
+    return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, :width, None]
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x channels, of 8 or 16 bits; not interlaced, no palette."""
+    """Height x width x channels, of 8 or 16 bits: gray, gray and alpha, RGB or RGBA. Grays of less than 8 bits are spread over 0 to 255, palettes
+    become their colors, and a transparent color becomes an alpha channel. Interlaced images are put together."""
     if image_type(data) != "png":
         raise ContainerError("only PNG images are decoded")
     parts = list(_chunks(data))
     width, height, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", parts[0][1])
-    if color not in _CHANNELS or depth not in (8, 16) or interlace:
+    if color not in (*_CHANNELS, _PALETTE) or depth not in (1, 2, 4, 8, 16) or (depth < 8 and color not in (0, _PALETTE)) or (depth == 16 and color == _PALETTE):
         raise ContainerError("this kind of PNG isn't decoded")
-    channels = _CHANNELS[color]
-    step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(d for k, d in parts if k == b"IDAT")), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.int64)
-    for y in range(height):
-        line, kind = raw[y, 1:].astype(np.int64), raw[y, 0]
-        if kind == 2:
-            line = line + above & 255
-        elif kind:
-            for x in range(0, width * step):
-                left = line[x - step] if x >= step else 0
-                corner = above[x - step] if x >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                line[x] = line[x] + guess & 255
-        out[y], above = line, line
-    return out.reshape(height, width, channels) if depth == 8 else out.reshape(height, width, channels, 2).view(">u2")[..., 0].astype(np.uint16)
+    channels = _CHANNELS.get(color, 1)
+    raw = np.frombuffer(zlib.decompress(b"".join(d for k, d in parts if k == b"IDAT")), np.uint8)
+    out = np.zeros((height, width, channels), np.uint16 if depth == 16 else np.uint8)
+    at = 0
+    for x, y, dx, dy in _PASSES if interlace else [(0, 0, 1, 1)]:
+        place = out[y::dy, x::dx]
+        if place.size:
+            line = 1 + (place.shape[1] * channels * depth + 7) // 8
+            rows = raw[at : at + place.shape[0] * line]
+            if len(rows) < place.shape[0] * line:
+                raise ContainerError("PNG image is cut short")
+            place[:] = _samples(_unfiltered(rows.reshape(-1, line), max(1, channels * depth // 8)), place.shape[1], channels, depth)
+            at += len(rows)
+    extra = dict(parts)
+    clear = extra.get(b"tRNS")
+    if color == _PALETTE:
+        palette = np.frombuffer(extra.get(b"PLTE", b""), np.uint8).reshape(-1, 3)
+        if out.size and out.max() >= len(palette):
+            raise ContainerError("PNG palette has too few colors")
+        if clear:
+            alpha = np.frombuffer(clear, np.uint8)
+            palette = np.column_stack([palette, np.append(alpha, np.full(len(palette) - len(alpha), 255, np.uint8))])
+        return palette[out[..., 0]]
+    most = 65535 if depth == 16 else 255
+    if clear and color in (0, 2):
+        see = (out != np.frombuffer(clear, ">u2")[:channels]).any(axis=2, keepdims=True)
+        alpha = np.where(see, most, 0).astype(out.dtype)
+    if depth < 8:
+        out = out * np.uint8(255 // ((1 << depth) - 1))
+    return np.concatenate([out, alpha], axis=2) if clear and color in (0, 2) else out
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

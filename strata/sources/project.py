@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -118,6 +119,12 @@ class ProjectReader:
         check_limits(data, self.file.limits)
         return data
 
+    def pixels(self, a: dict) -> np.ndarray:
+        """A PNG image, decoded: height x width x channels."""
+        from .images import decode_png
+
+        return decode_png(self.image(a))
+
     def problems(self) -> list[Problem]:
         """All that is wrong in the arrays."""
         out: list[Problem] = []

@@ -422,6 +422,109 @@ def test_png_filters():
     assert (images.decode_png(png) == pixels).all() and images.size(png) == (7, 6)
 
 
+def png_of(head, body, *others):
+    import struct
+    import zlib
+
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + b"".join(chunk(*o) for o in others) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_png_of_few_bits_palette_transparency_and_interlace():
+    import struct
+
+    rng = np.random.default_rng(5)
+    for depth in (1, 2, 4):
+        level = rng.integers(0, 1 << depth, (5, 11))
+        bits = (level[..., None] >> np.arange(depth)[::-1]) & 1
+        rows = np.packbits(bits.reshape(5, -1).astype(np.uint8), axis=1)
+        body = b"".join(b"\0" + r.tobytes() for r in rows)
+        assert (images.decode_png(png_of((11, 5, depth, 0, 0, 0, 0), body))[..., 0] == level * 255 // ((1 << depth) - 1)).all()
+        colors = rng.integers(0, 256, (1 << depth, 3), dtype=np.uint8)
+        got = images.decode_png(png_of((11, 5, depth, 3, 0, 0, 0), body, (b"PLTE", colors.tobytes()), (b"tRNS", b"\x07")))
+        assert (got[..., :3] == colors[level]).all() and (got[..., 3] == np.where(level == 0, 7, 255)).all()
+        if level.max() > 0:
+            with pytest.raises(container.ContainerError, match="palette"):
+                images.decode_png(png_of((11, 5, depth, 3, 0, 0, 0), body, (b"PLTE", colors[:1].tobytes())))
+    pixels = rng.integers(0, 256, (2, 3, 3), dtype=np.uint8)
+    body = b"".join(b"\0" + r.tobytes() for r in pixels.reshape(2, -1))
+    got = images.decode_png(png_of((3, 2, 8, 2, 0, 0, 0), body, (b"tRNS", struct.pack(">3H", *pixels[1, 2].tolist()))))
+    assert (got[..., :3] == pixels).all() and got[1, 2, 3] == 0 and (got[..., 3] > 0).sum() == 5
+    # each pass of an interlaced image is an image of its own; small ones have no pixel in some passes
+    for height, width in ((9, 13), (1, 1), (3, 2)):
+        pixels = rng.integers(0, 65536, (height, width, 2), dtype=np.uint16)
+        body = b""
+        for x, y, dx, dy in images._PASSES:
+            part = pixels[y::dy, x::dx]
+            if part.size:
+                body += b"".join(b"\0" + r.astype(">u2").tobytes() for r in part)
+        assert (images.decode_png(png_of((width, height, 16, 4, 0, 0, 1), body)) == pixels).all()
+        with pytest.raises(container.ContainerError, match="cut short"):
+            images.decode_png(png_of((width, height, 16, 4, 0, 0, 1), body[:-1]))
+    for head in ((1, 1, 3, 0, 0, 0, 0), (1, 1, 4, 2, 0, 0, 0), (1, 1, 16, 3, 0, 0, 0), (1, 1, 8, 5, 0, 0, 0)):
+        with pytest.raises(container.ContainerError, match="decoded"):
+            images.decode_png(png_of(head, b"\0\0"))
+    with pytest.raises(container.ContainerError, match="filter"):
+        images.decode_png(png_of((1, 1, 8, 0, 0, 0, 0), b"\x09\0"))
+
+
+def test_a_writer_at_a_uri_and_from_open_files(spark, written, tmp_path):
+    uri = (tmp_path / "there.zip").as_uri()
+    w = container.Writer(uri)
+    picture = tmp_path / "p.png"
+    picture.write_bytes(PNG)
+    table = tmp_path / "t.parquet"
+    pa.parquet.write_table(pa.table({"scalar": [1.5, 2.5]}, schema=kinds.KINDS["Scalar"]["F64"]), table)
+    with open(picture, "rb") as p, open(table, "rb") as t:
+        image, scalar = w.image(p), w.parquet_bytes("Scalar", t)
+    w.close({"name": "there"})
+    assert scalar.item_count == 2
+    r = container.Reader(uri)
+    assert r.bytes(image.filename) == PNG and r.index() == {"name": "there"}
+    assert r.bytes(scalar.filename) == table.read_bytes()
+    with zipfile.ZipFile(tmp_path / "there.zip") as z:
+        assert z.testzip() is None
+    gone = container.Writer((tmp_path / "gone.zip").as_uri())
+    gone.image(PNG)
+    gone.cancel()
+    assert not (tmp_path / "gone.zip").exists()
+    # a whole project
+    p = ProjectWriter(spark, (tmp_path / "quarry.zip").as_uri())
+    project = quarry(p.array, p.image)
+    assert p.finish(project) == []
+    again = ProjectReader(spark, (tmp_path / "quarry.zip").as_uri())
+    assert again.project == project and again.problems() == []
+    assert again.pixels(data_of(project, 3, 0)["image"]).tolist() == np.arange(54).reshape(6, 3, 3).tolist()
+
+
+def test_places_of_attributes(written):
+    places = [catalog.valid_locations(e) for e in written[1]["elements"]]
+    both = ["Vertices", "Primitives"]
+    assert places == [both, ["Vertices"], both, both, ["Subblocks", "Primitives"], ["Subblocks", "Primitives"], ["Elements"]]
+    assert catalog.valid_locations({"geometry": {"type": "BlockModel"}}) == ["Primitives"]
+
+
+def test_bounds_belong_to_a_kind():
+    for kind, bounds in (("Segment", {}), ("Name", {"count": 1}), ("RegularSubblock", {"blocks": [1, 1, 1]}), ("FreeformSubblock", {"blocks": [1, 1, 1], "mode": None})):
+        with pytest.raises(TypeError, match=kind):
+            catalog.Use(kinds.Array(kind, "x", 1), "T", "f", None, bounds)
+
+
+def test_metadata_and_overlaps(spark):
+    from strata.functions import casts as C
+    from strata.operators import validate as V
+
+    rows = spark.createDataFrame([('{"none": null, "depth": [1, 2.5], "by": {"crew": "B"}}',), ("",), ("{",), (None,)], "m string")
+    got = rows.select(C.metadata(F.col("m"), "$.by.crew"), C.metadata(F.col("m"), "$.depth[1]", "double"), C.metadata(F.col("m"), "$.none"), C.metadata(F.col("m"), "$.by", "int")).collect()
+    assert [tuple(r) for r in got] == [("B", 2.5, None, None)] + [(None,) * 4] * 3
+    names = ["u", "a", "b", "c", "d"]
+    boxes = [(0, 0, 0, 2, 2), (0, 1, 1, 3, 2), (0, 2, 0, 4, 1), (1, 0, 0, 2, 2), (1, 0, 0, 0, 2), (2, 0, 0, 1, 1), (2, 0, 0, 1, 1), (2, 0, 0, 1, 1), (3, None, 0, 1, 1)]
+    shared = V.shared_cells(spark.createDataFrame(boxes, "u int, a int, b int, c int, d int"), ["u"], names[1:3], names[3:])
+    assert sorted(map(tuple, shared.collect())) == [(0, 1, 1, 2), (2, 0, 0, 3)]
+    bare = J.surface_vertices(spark.createDataFrame([(0, 2.0, 3.0)], "pos long, x double, y double"), None, [1.0, 1.0, 1.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0])
+    assert tuple(bare.first()) == (0, 1.0, 3.0, 4.0)
+
+
 def test_data_source_reads_all_kinds_and_variants(spark, tmp_path):
     from strata.sources.datasource import register
 
