@@ -4,7 +4,7 @@ A text is split into words by the tokenizer's pattern; a word's ids depend on no
 frequent ones, up to a fixed number, are encoded once each by higher-order functions: a fold over the word's bytes merges, step by step, the pair
 of lowest rank, with ranks looked up in a literal map. That dictionary has a bounded size and goes to all tasks, which put texts together from
 it. A word that isn't among the frequent ones is folded in the same way where it occurs, so every text is encoded in full, and no text is shuffled.
-Ids are decoded by joining the bytes they stand for.
+Ids are decoded by an expression that concatenates the bytes they stand for, looked up in a literal array.
 """
 
 from __future__ import annotations
@@ -183,9 +183,8 @@ class _Words(dict):
 _state: dict = {}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS, decoded: bool = False) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row; with decoded also what decode() makes
-    of the ids, bytes, in the same pass.
+def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers) and tokens (the same as an array of ints) of every row.
 
     A null text counts as empty and has no ids. A null doc_id is carried, repeated rows are encoded each. An empty table gives no rows.
     Other columns are ignored. Strings of special tokens are ordinary text.
@@ -194,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS, decoded
     ranks = load_ranks(path)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     known = sc.broadcast((dictionary(texts.select("text"), pattern, ranks, words), ranks))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("bytes", pa.binary())] if decoded else [])])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -202,38 +201,31 @@ def encode(docs: DataFrame, path: str, pattern: str, words: int = WORDS, decoded
         find = regex.compile(pattern).findall
         if _state.get("id") is not known:
             _state.clear()
-            _state.update(id=known, words=_Words(*known.value), pieces=_pieces(known.value[1]))
-        ids_of, pieces = _state["words"].__getitem__, _state["pieces"]
+            _state.update(id=known, words=_Words(*known.value))
+        ids_of = _state["words"].__getitem__
         for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             ids = [b"".join(map(ids_of, find(t.as_py()))) for t in part.column("text")]
-            columns = [part.column("doc_id"), pa.array(ids, pa.binary())]
-            if decoded:
-                columns.append(pa.array((_joined(x, pieces) for x in ids), pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            # one buffer of all ids of the rows, cut by how many each has
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), tokens], schema=schema)
 
-    return texts.mapInArrow(frugal(run), "doc_id long, ids binary" + ", bytes binary" * decoded)
+    return texts.mapInArrow(frugal(run), "doc_id long, ids binary, tokens array<int>")
 
 
-def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
-    """Bytes by id."""
-    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+def decoded(tokens: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that an array of ids stands for. An id without a token, or a null one, is an error; a null array gives null."""
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        out[rank] = token
-    return out
-
-
-def _joined(ids: bytes, pieces: list[bytes | None]) -> bytes:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        pieces[rank] = token.decode("latin-1")
+    # bytes are written as Latin-1, so pieces join as strings, in one go
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    fault = F.raise_error(F.lit("an id has no token")).cast("string")
+    joined = F.get(F.transform(F.array(table), lambda t: F.array_join(F.transform(tokens, lambda i: F.coalesce(F.get(t, i), fault)), "")), F.lit(0))
+    return F.encode(joined, "ISO-8859-1")
 
 
 def decode(encoded_rows: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and bytes (binary) of every row of doc_id and ids. An id without a token is an error; null ids stay null."""
-    pieces = encoded_rows.sparkSession.sparkContext.broadcast(_pieces(load_ranks(path)))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            data = (_joined(x.as_buffer(), pieces.value) if x.is_valid else None for x in part.column("ids"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(data, pa.binary())], schema=schema)
-
-    return encoded_rows.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, ids binary, bytes binary")
+    """encoded_rows (tokens: an array of ids) with bytes (binary), what the ids stand for. An id without a token is an error; null tokens stay
+    null and none give no bytes. Repeated rows are decoded each, an empty table gives no rows, and a column named bytes is replaced."""
+    return encoded_rows.withColumn("bytes", decoded(F.col("tokens"), load_ranks(path)))

@@ -33,11 +33,27 @@ def test_bpe_like_tiktoken(spark, words):
         text = texts()[r["doc_id"]] or ""
         assert np.frombuffer(r["ids"], "<u4").tolist() == other.encode_ordinary(text)
         assert bytes(r["bytes"]) == text.encode()
-    once = bpe.encode(documents(spark, texts()), RANKS, P.PATTERN, words, decoded=True).collect()
-    assert {(r["doc_id"], bytes(r["ids"]), bytes(r["bytes"])) for r in once} == {(r["doc_id"], bytes(r["ids"]), bytes(r["bytes"])) for r in rows}
+        assert r["tokens"] == other.encode_ordinary(text)
     assert bpe.encode(documents(spark, []), RANKS, P.PATTERN, words).count() == 0
 
 
+def test_decoding(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    ranks = bpe.load_ranks(RANKS)
+    every = sorted(ranks.values())
+    by_id = {v: k for k, v in ranks.items()}
+    lists = [every, [], None, every[::-7], every[::-7]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, tokens array<int>").withColumn("bytes", F.lit("clashes"))
+    got = {r["k"]: r["bytes"] for r in bpe.decode(rows, RANKS).collect()}
+    assert got == {k: None if x is None else b"".join(map(by_id.get, x)) for k, x in enumerate(lists)}
+    assert bpe.decode(rows.limit(0), RANKS).count() == 0
+    for bad in ([len(every) + 5], [-1], [None]):
+        with pytest.raises(PySparkException, match="no token"):
+            bpe.decode(spark.createDataFrame([(bad,)], "tokens array<int>"), RANKS).collect()
+
+
 def test_folds_agree(spark):
     import regex
     from pyspark.sql import functions as F
