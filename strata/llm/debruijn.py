@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, give_back
-from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
+from .repeats import MOST, in_parts, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 35
 GRAM = 6
@@ -26,7 +26,7 @@ GRAM = 6
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _kept(data: bytes, spans: list[dict]) -> tuple[int, int, list[tuple[int, int]], bytes]:
+def _kept(data: bytes, spans: pa.ListScalar) -> tuple[int, int, list[tuple[int, int]], bytes]:
     words = data.split()  # at the six ASCII space characters
     cut, kept, at = merged_spans(spans), [], 0
     for a, b in cut:
@@ -45,15 +45,13 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, keep_first: boo
     """
     rows, spans = repeated_spans(docs, "word", length, GRAM, keep_first, most)
 
+    def row(doc_id: pa.Scalar, text: pa.Scalar, spans: pa.ListScalar) -> tuple:
+        n, removed, cut, kept = _kept(text.as_buffer().to_pybytes(), spans)
+        return doc_id.as_py(), n, removed, [{"begin": a, "end": b} for a, b in cut], kept.decode(), hashlib.sha256(kept).hexdigest()
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, spans = batch.column("doc_id"), batch.column("text"), batch.column("spans")
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for i in range(lo, min(lo + 256, batch.num_rows)):
-                    n, removed, cut, kept = _kept(texts[i].as_buffer().to_pybytes(), spans[i].as_py())
-                    out.append((ids[i].as_py(), n, removed, [{"begin": a, "end": b} for a, b in cut], kept.decode(), hashlib.sha256(kept).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
+            yield from in_parts(map(row, batch.column("doc_id"), batch.column("text"), batch.column("spans")), lambda r: len(r[4]), _OUT)
 
     return rows_with_spans(rows, spans).select("doc_id", "text", "spans").mapInArrow(
         frugal(apply), "doc_id long, n_words long, n_removed long, spans array<struct<begin:long,end:long>>, kept string, kept_sha256 string"
@@ -67,7 +65,7 @@ def without_repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = pa.array((_kept(t.as_buffer().to_pybytes(), s.as_py())[3].decode() if s.is_valid else None for t, s in zip(texts, spans, strict=True)), pa.string())
+        out = pa.array((_kept(t.as_buffer().to_pybytes(), s)[3].decode() if s.is_valid else None for t, s in zip(texts, spans, strict=True)), pa.string())
         give_back()
         return out
 

@@ -409,15 +409,36 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, gram: int, keep_firs
     return rows, whole.unionByName(solved)
 
 
-def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs (begin, end) of overlapping or touching spans."""
-    out: list[list[int]] = []
-    for at, end in sorted((x["at"], x["at"] + x["len"]) for x in spans or ()):
-        if out and at <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([at, end])
-    return [(a, b) for a, b in out]
+def merged_spans(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of overlapping or touching spans (at, len). A row can have a span for each of its windows, so they stay in arrays."""
+    if not spans.is_valid or not len(spans.values):
+        return []
+    at, size = (x.to_numpy() for x in spans.values.flatten())
+    order = np.argsort(at, kind="stable")
+    at, reach = at[order], np.maximum.accumulate((at + size)[order])
+    new = np.flatnonzero(at[1:] > reach[:-1])
+    return list(zip(at[np.append(0, new + 1)].tolist(), reach[np.append(new, len(at) - 1)].tolist(), strict=True))
+
+
+def in_parts(rows: Iterator[tuple], sizes: Callable[[tuple], int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of PART rows at most, and fewer where they are large: a batch ends once it has PART_BYTES."""
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sizes(row)
+        if len(held) == PART or size >= PART_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+#: Rows, and bytes of their kept texts, that are given at once.
+PART, PART_BYTES = 256, 1 << 22
 
 
 def rows_with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

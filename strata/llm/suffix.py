@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import frugal
-from .repeats import MOST, merged_spans, repeated_spans, rows_with_spans
+from .repeats import MOST, in_parts, merged_spans, repeated_spans, rows_with_spans
 
 LENGTH = 400
 GRAM = 24
@@ -32,20 +32,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     """
     rows, spans = repeated_spans(docs, "byte", length, GRAM, keep_first, most)
 
+    def row(doc_id: pa.Scalar, text: pa.Scalar, spans: pa.ListScalar) -> tuple:
+        data, at, kept = text.as_buffer().to_pybytes(), 0, []
+        cut = merged_spans(spans)
+        for a, b in cut:
+            kept.append(data[at:a])
+            at = b
+        kept = b"".join([*kept, data[at:]])
+        return doc_id.as_py(), len(data), len(data) - len(kept), len(cut), [{"begin": a, "end": b} for a, b in cut], kept, hashlib.sha256(kept).hexdigest()
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, spans = batch.column("doc_id"), batch.column("text"), batch.column("spans")
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for i in range(lo, min(lo + 256, batch.num_rows)):
-                    data, at, kept = texts[i].as_buffer().to_pybytes(), 0, []
-                    cut = merged_spans(spans[i].as_py())
-                    for a, b in cut:
-                        kept.append(data[at:a])
-                        at = b
-                    kept = b"".join([*kept, data[at:]])
-                    out.append((ids[i].as_py(), len(data), len(data) - len(kept), len(cut), [{"begin": a, "end": b} for a, b in cut], kept, hashlib.sha256(kept).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
+            yield from in_parts(map(row, batch.column("doc_id"), batch.column("text"), batch.column("spans")), lambda r: len(r[5]), _OUT)
 
     return rows_with_spans(rows, spans).select("doc_id", "text", "spans").mapInArrow(
         frugal(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string"
