@@ -8,10 +8,11 @@ is a process of its own with rate in proportion to its width, so a shingle of we
 points at or above w are passed over. A process is followed only until its time passes the largest value in the signature so far.
 
 Equal texts are first collapsed to one node, known by 64 bits, and by 64 more where those meet. Nodes with equal bands of the signature share a bucket, whose smallest node is its pivot.
-Pairs are compared only if sizes and signatures leave it open that they are similar enough, and then by exact multiset overlap.
+Pairs are compared by exact multiset overlap.
 
-1. Each node is compared with the smallest of its pivots: one pair a node, which settles groups of near copies as a star.
-2. Of buckets that still hold several components, nodes leave of which too many shingles occur in no other text there: they can't have a link.
+1. Each node is compared with the smallest of its pivots whose signature is like its own: one pair a node, which settles groups of near
+   copies as a star. Then with its other such pivots, and with the one other node of a bucket of two, where components differ.
+2. Of larger buckets that still hold several components, nodes leave of which too many shingles occur in no other text there: they can't have a link.
 3. In what is left, every pair of a bucket is decided exactly in one product of shingle matrices, block by block where a bucket is large, and of the
    links found those are given that join components. No pair is written out.
 
@@ -197,39 +198,13 @@ def _links(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").mapInArrow(_verify(*least), "u long, v long")
 
 
-#: Links of which one task finds the components; more are settled by joins.
-TOGETHER = 1_000_000
+def components(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node of its component, for every node of links (u, v), which can repeat or join a node to itself. No links give no rows.
 
-
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            root.setdefault(u, u)
-            root.setdefault(v, v)
-            a, b = sorted((find(u), find(v)))
-            root[b] = a
-    nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], schema=pa.schema([("node", pa.int64()), ("root", pa.int64())]))
-
-
-def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """node, root: the smallest node of its component, for every node of links (u, v).
-
-    Up to `together` links, a bounded amount, go through one task. More are settled by alternating large and small stars (Kiveris et al.,
-    2014); each step is written out and nothing is gathered in one place.
+    Alternating large and small stars (Kiveris et al., 2014), however many links there are; each step is written out and nothing is
+    gathered in one place.
     """
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    if links.count() <= together:
-        roots = materialize(links.coalesce(1).mapInArrow(frugal(_union), "node long, root long"), "roots")
-        discard(links)
-        return roots
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -247,24 +222,30 @@ def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
 
 #: Nodes of a block; a bucket of more is compared block by block.
 BLOCK_NODES = 512
-#: Pairs whose signatures agree in a smaller share of components aren't compared.
+#: A node and a pivot whose signatures agree in a smaller share of components below the least similarity aren't compared as a star.
 SLACK = 0.2
 
 
-def _plausible(m: int, least: tuple[int, int]) -> Column:
-    """Whether the sizes of two texts and their signatures (16 bits a component) leave it open that they are similar enough. A
-    pair of similarity 0.8 agrees in less than 0.6 of 120 components with probability 3e-8."""
+def _possible(least: tuple[int, int]) -> Column:
+    """Whether the sizes of two texts leave it open that they are similar enough: exact."""
+    num, den = least
+    return F.expr(f"{den} * least(size, other_size) >= {num} * greatest(size, other_size)")
+
+
+def _likely(m: int, least: tuple[int, int]) -> Column:
+    """Whether the signatures of two texts (16 bits a component) agree about as often as those of similar ones do. It only says which pairs are
+    compared as stars; the others are decided with the rest of their bucket."""
     num, den = least
     agree = f"size(filter(sequence(1, {2 * m - 1}, 2), i -> substring(sign, i, 2) = substring(other_sign, i, 2)))"
-    return F.expr(f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and {agree} >= {m * (num / den - SLACK)}")
+    return F.expr(f"{agree} >= {m * (num / den - SLACK)}")
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Buckets that hold several components, one of those with the same nodes; but for a pivot and one other node, which are a star's pair."""
+    """Buckets that hold several components, one of those with the same nodes."""
     found = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("pivot").alias("pivot")
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes")
     )
-    return found.where("r <> s and (n > 2 or a <> pivot)").groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
+    return found.where("r <> s").groupBy("n", "a", "b", "nodes").agg(F.min("bucket").alias("bucket"))
 
 
 def similar_pairs(bags: list[tuple[np.ndarray, np.ndarray]], num: int, den: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -382,29 +363,34 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: tuple[
     texts = materialize(source.select(identity, "key", "text").join(wanted, ["id", "key"]).select("node", "text"), "texts")
     about = nodes.select("node", "size", "sign")
     pivots = about.select(F.col("node").alias("pivot"), F.col("size").alias("other_size"), F.col("sign").alias("other_sign"))
-    near = _plausible(bands * rows, least)
+    likely = _likely(bands * rows, least).alias("likely")
 
-    stars = members.where("node <> pivot").select("node", "pivot").distinct().join(about, "node").join(pivots, "pivot").where(near).select("node", "pivot")
-    stars = materialize(stars, "stars")
+    stars = members.where("node <> pivot").select("node", "pivot").distinct().join(about, "node").join(pivots, "pivot").where(_possible(least))
+    pairs = materialize(stars.select("node", "pivot", likely), "stars")
+    stars = pairs.where("likely").drop("likely")
     first = stars.groupBy("node").agg(F.min("pivot").alias("pivot"))
     found = materialize(_links(first, texts, least), "found")
     roots = components(found)
 
-    rest = materialize(_across(stars.join(first, ["node", "pivot"], "left_anti"), roots), "pairs")
-    now = members.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    opened = materialize(now.join(_open(now).select("bucket"), "bucket"), "open")
+    now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    # a bucket of two is a pair with its pivot and is compared as such, likely or not; larger ones are decided as a whole
+    open_ = materialize(_open(now), "buckets")
+    twos = open_.where("n = 2").select(F.col("b").alias("node"), F.col("a").alias("pivot"))
+    unlikely = pairs.where("not likely").select("node", "pivot").join(twos, ["node", "pivot"], "left_semi")
+    rest = materialize(_across(stars.join(first, ["node", "pivot"], "left_anti"), roots).unionByName(unlikely), "pairs")
+    opened = materialize(now.join(open_.where("n > 2").select("bucket"), "bucket"), "open")
     able = _able(opened.select("node").distinct().join(about, "node").select("node", "size"), texts, least)
-    # nodes that leave can be pivots: two that stay needn't be a star's pair
     rows_ = able_rows = materialize(opened.join(able, "node", "left_semi"), "able")
-    open_ = _open(rows_).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
-    rows_ = rows_.join(open_.select("bucket", "blocks"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    # a pivot can leave, and a pair with a pivot that stays can be an unlikely one, so buckets of two count here
+    left = _open(rows_).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
+    rows_ = rows_.join(left.select("bucket", "blocks"), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows_ = rows_.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root").join(texts, "node")
     within = rows_.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node").mapInArrow(_within(*least), "u long, v long")
     more = materialize(within.unionByName(_links(rest, texts, least)), "found")
     if not more.isEmpty():
         roots = components(found.unionByName(more))
-    discard(members, nodes, texts, stars, found, rest, opened, able_rows, more)
+    discard(members, nodes, texts, pairs, found, open_, rest, opened, able_rows, more)
     # a table of nodes and one of classes, written first: what joins to a hot one is then split over tasks
     named = signed.groupBy("node").agg(F.min("doc_id").alias("id")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "id")
     named = materialize(named, "node-classes")

@@ -81,11 +81,10 @@ def test_one_of_each_class_stays_and_empty_table(spark):
     assert sorted(str(r["text"]) for r in rows) == ["None", "a b", "c"]
 
 
-@pytest.mark.parametrize("together", [0, 10_000])
-def test_components(spark, together):
+def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "u long, v long"), together).collect()}
+    got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
     root = {x: x for l in links for x in l}
     moved = True
     while moved:
@@ -96,6 +95,7 @@ def test_components(spark, together):
             root[a] = root[b] = m
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: root[x] for x in linked}
+    assert minhash.components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
 
 
 def test_near_copies_of_a_template_among_its_variants(spark):
@@ -133,6 +133,13 @@ def test_large_buckets_and_stars_in_parts(spark, monkeypatch):
     check(spark, awkward(5))
 
 
+@pytest.mark.parametrize("slack", [-0.21, 0.05, 0.8])
+def test_signatures_decide_no_pair(spark, monkeypatch, slack):
+    """Whether no, some or all pairs are compared as stars, the classes are the same."""
+    monkeypatch.setattr(minhash, "SLACK", slack)
+    check(spark, awkward(7))
+
+
 def test_equal_bits_of_different_texts(spark):
     rows = [(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80)]
     got = {r["doc_id"]: r["node"] for r in minhash._apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
