@@ -54,10 +54,12 @@ def members_missing(used: DataFrame, known: DataFrame, name: str) -> DataFrame:
 def grid_corners(u: DataFrame, v: DataFrame, nu: int) -> DataFrame:
     """Corners (pos, x, y) of a grid from the edges (pos, edge) of its axes, U fastest. nu: corners along U.
 
-    Both axes are single rows of a grid, many times smaller than it; every pairing is a corner of the result.
+    Each edge of U is repeated for every position along V, then joined to V's edge by that position.
     """
-    pairs = u.select(F.col("pos").alias("i"), F.col("edge").alias("x")).join(v.select(F.col("pos").alias("j"), F.col("edge").alias("y")), how="cross")
-    return pairs.select((F.col("j").cast("long") * nu + F.col("i")).alias("pos"), "x", "y")
+    last = v.agg(F.max("pos")).scalar()
+    cells = u.select(F.col("pos").alias("i"), F.col("edge").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("j"))
+    pairs = cells.join(v.select(F.col("pos").cast("long").alias("j"), F.col("edge").alias("y")), "j")
+    return pairs.select((F.col("j") * nu + F.col("i")).alias("pos"), "x", "y")
 
 
 def surface_vertices(corners: DataFrame, heights: DataFrame | None, origin: G.Vector, u: G.Vector, v: G.Vector, height: str = "scalar", pos: str = "pos") -> DataFrame:
