@@ -68,7 +68,7 @@ def continuous_color(value: Column, least: object, most: object, gradient: Seque
     def channel(i: int) -> Column:
         steps = F.array(*(F.lit(float(c[i])) for c in gradient))
         a, b = F.get(steps, below), F.get(steps, F.least(below + 1, F.lit(last)))
-        return F.round(a + (b - a) * (at - below)).cast("int")
+        return F.round(a * (1.0 - (at - below)) + b * (at - below)).cast("int")
 
     return F.when(value.isNotNull(), F.struct(*(channel(i).alias(n) for i, n in enumerate("rgba"))))
 
