@@ -111,6 +111,22 @@ def test_ranks_are_suffix_order():
         assert list(following) == [k in keys[i + 1 :] for i, k in enumerate(keys)]
 
 
+def test_a_passage_of_many_texts_gives_few_rows(spark):
+    """Runs at the edges of a common passage are cut where they differ and not into windows, which gave 989 rows here."""
+    rng = np.random.default_rng(8)
+
+    def made(n):
+        return "".join(chr(c) for c in rng.integers(97, 123, n))
+
+    passage = made(700)
+    texts = [made(int(rng.integers(250, 450))) + passage + made(int(rng.integers(250, 450))) for _ in range(30)]
+    texts += [texts[0][:500] + made(300), texts[1]]
+    _, spans = repeats.repeated_spans(documents(spark, texts), "byte", 400, suffix.GRAM, most=5)
+    assert spans.count() <= 25 * len(texts)
+    for keep_first in (False, True):
+        check_bytes(spark, texts, 400, keep_first, most=5)
+
+
 def test_minimisers_are_solved_together_or_alone():
     """However rows come in batches and however many minimisers are compared at once, the spans are the same."""
     rng = np.random.default_rng(3)
