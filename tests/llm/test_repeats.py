@@ -127,6 +127,35 @@ def test_a_passage_of_many_texts_gives_few_rows(spark):
         check_bytes(spark, texts, 400, keep_first, most=5)
 
 
+@pytest.mark.parametrize("unit", ["byte", "word"])
+def test_texts_without_hot_minimisers_are_not_shuffled_for_them(spark, unit):
+    """Runs of hot minimisers are cut out of few texts; where these runs don't fit a broadcast, all texts were shuffled for them."""
+    rng = np.random.default_rng(11)
+
+    def made(n):
+        return " ".join("".join(chr(c) for c in rng.integers(97, 123, 9)) for _ in range(n))
+
+    passage = made(70)
+    hot = [made(int(rng.integers(25, 45))) + " " + passage + " " + made(int(rng.integers(25, 45))) for _ in range(30)]
+    texts = [made(500) for _ in range(400)] + hot
+    check, length, gram = (check_bytes, 400, suffix.GRAM) if unit == "byte" else (check_words, 35, debruijn.GRAM)
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(60_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, before = documents(spark, texts), written()
+        repeats.repeated_spans(docs, unit, length, gram, most=5)  # what was hot is cut out by now, the rest isn't begun
+        assert written() - before < 0.4 * sum(map(len, texts))
+        check(spark, texts[-60:], length, most=5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_minimisers_are_solved_together_or_alone():
     """However rows come in batches and however many minimisers are compared at once, the spans are the same."""
     rng = np.random.default_rng(3)
